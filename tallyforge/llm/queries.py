@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, sharding, token_counts
+from tallyforge.llm import mixing, quality_rules, sharding, token_counts
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,8 @@ FROM r
 def op10(spark, sf_dir):
     out = mixing.copies(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@_query("op4_divergence_rules")
+def op4(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
