@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, quality_rules, sharding, token_counts
+from tallyforge.llm import mixing, quality_rules, sharding, simhash, token_counts
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,8 @@ def op10(spark, sf_dir):
 @_query("op4_divergence_rules")
 def op4(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@_query("op3_simhash_pivots")
+def op3(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
