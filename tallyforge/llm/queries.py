@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import mixing, quality_rules, sharding, simhash, token_counts
+from tallyforge.llm import classifier, mixing, quality_rules, sharding, simhash, token_counts
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op4(spark, sf_dir):
 @_query("op3_simhash_pivots")
 def op3(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@_query("op1_nb_support_vectors")
+def op1(spark, sf_dir):
+    out = classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
