@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import classifier, mixing, quality_rules, sharding, simhash, token_counts
+from tallyforge.llm import classifier, mixing, quality_rules, sharding, simhash, token_counts, token_files
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ def op3(spark, sf_dir):
 def op1(spark, sf_dir):
     out = classifier.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@_query("op5_pfor_token_files")
+def op5(spark, sf_dir):
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
