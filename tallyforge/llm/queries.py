@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import classifier, mixing, quality_rules, sharding, simhash, token_counts, token_files
+from tallyforge.llm import classifier, mixing, pii, quality_rules, sharding, simhash, token_counts, token_files
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,8 @@ def op1(spark, sf_dir):
 @_query("op5_pfor_token_files")
 def op5(spark, sf_dir):
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@_query("op7_lstm_crf_pii")
+def op7(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
