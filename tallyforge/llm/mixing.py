@@ -63,9 +63,8 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float =
     targets = cut(source_targets(narrow, weights, most), "mix-targets")
     joined = _join_sources(narrow, targets)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_key"))), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
-    whole = F.floor(rate)
-    return joined.select("doc_id", "doc_key", "source", "size", "source_size", "target", (whole + (draw < rate - whole).cast("long")).cast("long").alias("copies"))
+    times = copies_of(rate, draw(F.col("doc_key"), seed))
+    return joined.select("doc_id", "doc_key", "source", "size", "source_size", "target", times.alias("copies"))
 
 
 def doc_key(key, text):
@@ -82,12 +81,29 @@ def _join_sources(narrow: DataFrame, targets: DataFrame) -> DataFrame:
     return n.join(t, same & (F.col("doc_salt") == F.col("salt"))).drop("target_source", "salt", "doc_salt")
 
 
-def emit(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs as often as counts (of `copies`) says, with the columns of docs.
-
-    A document with zero copies is left out. A table of 100 TB is joined by its digest: no source or text can be hot,
-    since equal digests are equal rows, which are counted once and joined once each."""
-    once = counts.groupBy("doc_key").agg(F.max("copies").alias("__copies")).where("__copies > 0")
-    marked = docs.withColumn("__key", doc_key(F.col(key), F.col(text)))
-    joined = marked.join(once.withColumnRenamed("doc_key", "__key"), "__key")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: int = 0, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them, with the columns of docs. No text is shuffled: a row's rate is
+    looked up by its source and its draw is taken from its own digest."""
+    narrow = docs.select(F.col(source).cast("string").alias("source"), n_words(F.col(text)).alias("size"))
+    targets = cut(source_targets(narrow, weights, most), "mix-targets")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rates = targets.select(F.col("source").alias("target_source"), rate.alias("__rate"))
+    marked = docs.withColumn("__draw", draw(doc_key(F.col(key), F.col(text)), seed))
+    same = F.col(source).cast("string").eqNullSafe(F.col("target_source"))
+    if rates.count() <= BROADCAST_SOURCES:
+        joined = marked.join(F.broadcast(rates), same)
+    else:
+        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = marked.withColumn("__own", F.floor(F.col("__draw") * SALTS * 1024 % SALTS).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")))
+    times = copies_of(F.col("__rate"), F.col("__draw"))
+    return joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+
+
+def draw(digest, seed: int):
+    """A number in [0, 1) from a digest and a seed."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), digest)), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
+
+
+def copies_of(rate, d):
+    """The whole part of the rate, and one more where the draw lies below its fraction."""
+    return (F.floor(rate) + (d < rate - F.floor(rate)).cast("long")).cast("long")

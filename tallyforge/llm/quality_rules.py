@@ -95,14 +95,16 @@ def _common_list(lang: Column) -> Column:
     return out.otherwise(F.array().cast("array<string>"))
 
 
-def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per row: doc_id, lang, the base counts, and the two histograms as arrays of counts."""
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", also: list[Column] | None = None) -> DataFrame:
+    """Per row: doc_id, lang, the base counts, the two histograms as arrays of counts, and further columns of docs."""
+    also = also or []
+    names = docs.select(*also).columns if also else []
     t = F.col("t")
     every = sorted({w for ws in COMMON_WORDS.values() for w in ws})
     word_part = let(words_in(t), lambda ws: F.struct(F.size(ws).alias("n"), repeated_words(ws).alias("repeat")))
     found = F.filter(words_in(F.lower(t)), lambda w: w.isin(every))
     common = let(found, lambda ws: F.transform(_common_list(F.col("lang")), lambda c: F.size(F.filter(ws, lambda w: w == c)).cast("long")))
-    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"), *also)
     counted = base.select(
         "doc_id",
         "lang",
@@ -112,6 +114,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         duplicate_lines(t).cast("long").alias("n_dup_lines"),
         *[F.regexp_count("t", F.lit(p)).cast("long").alias(f"c_{k}") for k, p in CLASSES.items()],
         common.alias("common"),
+        *names,
     )
     n_words = F.col("w.n").cast("long")
     rest = F.col("word_chars") - sum((F.col(f"c_{k}") for k in CLASSES), F.lit(0))
@@ -126,6 +129,7 @@ def features(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         F.col("w.repeat").cast("long").alias("n_repeat_words"),
         F.array(*[F.col(f"c_{k}") for k in CLASSES], F.col("chars") - F.col("word_chars"), rest).alias("classes"),
         F.concat("common", F.array(other)).alias("common"),
+        *names,
     )
 
 
@@ -165,17 +169,28 @@ def references(feats: DataFrame) -> DataFrame:
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per row of docs: the base counts, base_failed, both distances (null where a guard holds) and kept."""
-    f = features(docs, key, text, lang)
+    return _judged(docs, key, text, lang, []).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "common_distance")
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs without the rows that the rules reject, every column as it was. The rows travel with their counts through
+    the one written table, so that nothing is counted twice or joined back."""
+    judged = _judged(docs, key, text, lang, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")])
+    return judged.where("kept").select("__row.*")
+
+
+def _judged(docs: DataFrame, key: str, text: str, lang: str, also: list[Column]) -> DataFrame:
+    f = features(docs, key, text, lang, also)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     f = cut(f.withColumn("base_failed", failed), "quality-counts")
     passed = f.where(~F.col("base_failed"))
     refs = cut(references(passed), "quality-references")
     char, common = F.coalesce("char_distance", F.lit(0.0)), F.coalesce("common_distance", F.lit(0.0))
     typical = (char <= ROUGH_CHAR_DISTANCE) & (common <= ROUGH_COMMON_DISTANCE)
-    refs = cut(references(distances(passed, refs).where(typical)), "quality-references")
+    refs = cut(references(distances(passed.drop("__row"), refs).where(typical)), "quality-references")
     long = (F.col("n_words") >= LONG) & ((char > MAX_CHAR_DISTANCE) | (common > MAX_COMMON_DISTANCE))
     short = (F.col("n_words") < LONG) & ((char > SHORT_CHAR_DISTANCE) | ((char > BOTH_CHAR_DISTANCE) & (common > BOTH_COMMON_DISTANCE)))
-    return distances(f, refs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~(long | short)).alias("kept"), "char_distance", "common_distance")
+    return distances(f, refs).withColumn("kept", ~F.col("base_failed") & ~(long | short))
 
 
 def distances(f: DataFrame, refs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import classifier, decontamination, mixing, pii, quality_rules, sharding, simhash, token_counts, token_files
+from tallyforge.llm import classifier, decontamination, licenses, mixing, pii, quality_rules, sharding, simhash, token_counts, token_files
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,8 @@ def op7(spark, sf_dir):
 @_query("op8_bm25_decontamination")
 def op8(spark, sf_dir):
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query("op9_license_dice")
+def op9(spark, sf_dir):
+    return licenses.scan_licences(table(spark, sf_dir, "documents"))
