@@ -1 +1,2 @@
 """Imports every module that registers queries."""
+from tallyforge.plans import text_plans  # noqa: F401
