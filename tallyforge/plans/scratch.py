@@ -1,0 +1,17 @@
+"""Scratch folders that driver and executors share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path under spark.checkpoint.dir, or under a local folder where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="tallyforge-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/tallyforge-plans/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
