@@ -1,3 +1,4 @@
 """Imports every module that registers queries."""
 from tallyforge.plans import text_plans  # noqa: F401
 from tallyforge.plans import source_plans  # noqa: F401
+from tallyforge.plans import linear_plans  # noqa: F401
