@@ -4,3 +4,5 @@ from tallyforge.plans import source_plans  # noqa: F401
 from tallyforge.plans import linear_plans  # noqa: F401
 from tallyforge.plans import model_plans  # noqa: F401
 from tallyforge.plans import factor_plans  # noqa: F401
+from tallyforge.plans import layer_plans  # noqa: F401
+from tallyforge.plans import stream_plans  # noqa: F401
