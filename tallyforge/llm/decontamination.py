@@ -260,18 +260,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _FOUND)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the rows that hold a test item; every column as it was. Rows are judged where they are: no join."""
     sc = docs.sparkSession.sparkContext
     shared = [sc.broadcast(i) for i in build(benchmark)]
-    at = docs.columns.index(text)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in small(b, 256):
-                split = [terms(t) for t in part.column(at).to_pylist()]
+                split = [terms(t) for t in part.column("__text").to_pylist()]
                 found = [find_in(i.value, split) for i in shared]
                 clean = [not any(f[n] for f in found) for n in range(len(split))]
-                yield part.filter(pa.array(clean, pa.bool_()))
+                yield part.select(["__row"]).filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, rows.select("__row").schema).select("__row.*")

@@ -88,15 +88,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0
     targets = cut(source_targets(narrow, weights, most), "mix-targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rates = targets.select(F.col("source").alias("target_source"), rate.alias("__rate"))
-    marked = docs.withColumn("__draw", draw(doc_key(F.col(key), F.col(text)), seed))
-    same = F.col(source).cast("string").eqNullSafe(F.col("target_source"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(source).cast("string").alias("__source"), draw(doc_key(F.col(key), F.col(text)), seed).alias("__draw"))
+    same = F.col("__source").eqNullSafe(F.col("target_source"))
     if rates.count() <= BROADCAST_SOURCES:
         joined = marked.join(F.broadcast(rates), same)
     else:
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = marked.withColumn("__own", F.floor(F.col("__draw") * SALTS * 1024 % SALTS).cast("int")).join(salted, same & (F.col("__own") == F.col("__salt")))
+        own = F.pmod(F.floor(F.col("__draw") * 1048576), F.lit(SALTS)).cast("int")
+        joined = marked.withColumn("__own", own).join(salted, same & (F.col("__own") == F.col("__salt")))
     times = copies_of(F.col("__rate"), F.col("__draw"))
-    return joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select(*docs.columns)
+    return joined.withColumn("__times", times).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int")))).select("__row.*")
 
 
 def draw(digest, seed: int):

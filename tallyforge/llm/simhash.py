@@ -205,5 +205,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     found = _near_duplicates(docs, key, text, [doc_key(F.col(key), F.col(text)).alias("doc_key")])
     smallest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = smallest.groupBy("root").agg(F.min(F.struct("fingerprint", "doc_key"))["doc_key"].alias("__key"))
-    kept = docs.withColumn("__key", doc_key(F.col(key), F.col(text))).join(first.select("__key"), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    rows = docs.select(doc_key(F.col(key), F.col(text)).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    kept = rows.join(first.select("__key"), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select("__row.*")
