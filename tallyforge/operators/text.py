@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordering import row_numbers
+
 TOKEN = "[a-z]+"
 
 
@@ -21,7 +23,8 @@ def dictionary(tokens: DataFrame, column: str = "tok") -> DataFrame:
 def first_seen_ids(tokens: DataFrame, order: tuple[str, ...], column: str = "tok") -> DataFrame:
     """(tok, cnt, id): ids from 0 by first occurrence in the given order."""
     agg = tokens.groupBy(column).agg(F.count("*").alias("cnt"), F.min(F.struct(*order)).alias("__first"))
-    return agg.withColumn("id", F.row_number().over(Window.orderBy("__first")) - 1).drop("__first")
+    flat = agg.select(column, "cnt", *[F.col(f"__first.{c}").alias(f"__{c}") for c in order])
+    return row_numbers(flat, tuple(f"__{c}" for c in order), "id").select(column, "cnt", "id")
 
 
 def trim(dictionary: DataFrame, least: int) -> DataFrame:

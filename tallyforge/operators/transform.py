@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordering import row_numbers
+
 
 def batches(df: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
     """Adds batch_id: consecutive blocks of `size` rows in the given order; the last may be short."""
-    return df.withColumn("batch_id", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("long"))
+    return row_numbers(df, order, "batch_id").withColumn("batch_id", F.floor(F.col("batch_id") / size).cast("long"))
 
 
 def feature_value(x: Column, kind: int, threshold: float = 0.0) -> Column:

@@ -216,7 +216,10 @@ def moving_avg(spark, d):
 
 @query("sort_perm", "SELECT p_partkey AS k, row_number() OVER (ORDER BY p_retailprice, p_partkey) AS place FROM part")
 def sort_perm(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.row_number().over(Window.orderBy("p_retailprice", "p_partkey")).cast("long").alias("place"))
+    from tallyforge.operators.ordering import row_numbers
+
+    p = row_numbers(table(spark, d, "part").select("p_retailprice", "p_partkey"), ("p_retailprice", "p_partkey"), "place")
+    return p.select(F.col("p_partkey").alias("k"), (F.col("place") + 1).alias("place"))
 
 
 @query("sort_lex", "SELECT DISTINCT p_brand, p_type, p_size, dense_rank() OVER (ORDER BY p_brand, p_type, p_size) AS place FROM part")

@@ -13,7 +13,7 @@ DICT = f"{TOKENS}, dic AS (SELECT tok, count(*) AS cnt FROM tok GROUP BY tok), r
 
 @query("dict_build", f"WITH {TOKENS} SELECT tok, count(*) AS cnt, row_number() OVER (ORDER BY min((doc_id, pos))) - 1 AS id FROM tok GROUP BY tok")
 def dict_build(spark, d):
-    return X.first_seen_ids(tokens(spark, d), ("doc_id", "pos")).withColumn("id", F.col("id").cast("long"))
+    return X.first_seen_ids(tokens(spark, d), ("doc_id", "pos"))
 
 
 @query("dict_trim", f"WITH {DICT} SELECT tok, cnt FROM dic WHERE cnt >= 10")

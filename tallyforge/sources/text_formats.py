@@ -80,9 +80,9 @@ def read_clicks(lines: DataFrame, ints: int = 13, hexes: int = 26, column: str =
 
 def segments(df: DataFrame, order: str, blank: Column) -> DataFrame:
     """Adds record: the number of blank rows before a row; blank rows themselves are dropped."""
-    from pyspark.sql import Window
+    from tallyforge.operators.ordering import running_sums
 
-    return df.withColumn("record", F.sum(blank.cast("int")).over(Window.orderBy(order))).where(~blank)
+    return running_sums(df, (order,), blank.cast("int"), "record").where(~blank)
 
 
 MATRIX = T.StructType([T.StructField("row", T.LongType()), T.StructField("col", T.LongType()), T.StructField("value", T.DoubleType())])
