@@ -36,10 +36,10 @@ from tallyforge.llm.token_counts import tokenizer
 
 END = 0
 PAGE = 1 << 16
-#: Words of letters kept: some 200 MB of a worker at most; a tenth of that for other pieces.
-CACHE = 1_200_000
+#: Words of letters kept: some 50 MB of a worker at most; a tenth of that for other pieces.
+CACHE = 300_000
 #: Bytes of text encoded at a time (more only for a single text).
-SLICE = 12 << 20
+SLICE = 6 << 20
 
 PAGES = T.StructType(
     [
@@ -239,13 +239,14 @@ def write_pages(docs: DataFrame, path: str, out: str, key: str = "doc_id", text:
                     stop = min(int(np.searchsorted(ends, begin + page - held)) + 1, len(n))
                     keys += names[row:stop]
                     counts += (n[row:stop] + 1).tolist()
-                    ids.append(flat[begin : ends[stop - 1]])
+                    ids.append(flat[begin : ends[stop - 1]].copy())  # a view would hold the whole slice
                     held += int(ends[stop - 1]) - begin
                     begin, row = int(ends[stop - 1]), stop
                     if held >= page:
                         yield close()
                         number, first = number + 1, first + held
                         keys, counts, ids, held = [], [], [], 0
+            pa.default_memory_pool().release_unused()
         if keys:
             yield close()
 
