@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import classifier, decontamination, licenses, mixing, pii, quality_rules, sharding, simhash, token_counts, token_files
+from tallyforge.llm import classifier, decontamination, licenses, mixing, pii, quality_rules, quality_sql, sharding, simhash, token_counts, token_files
 from tallyforge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,9 +70,10 @@ def op10(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-@_query("op4_divergence_rules")
+@_query("op4_divergence_rules", quality_sql.judge_sql())
 def op4(spark, sf_dir):
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    out = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "common_distance")})
 
 
 @_query("op3_simhash_pivots")
