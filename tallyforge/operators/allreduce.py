@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordering import running_max
+
 
 def current(messages: DataFrame, lag: int) -> DataFrame:
     """Messages that are not outdated: at most `lag` rounds behind the newest one that arrived before or with them."""
-    newest = F.max("round").over(Window.orderBy("arrival").rowsBetween(Window.unboundedPreceding, 0))
-    return messages.withColumn("__newest", newest).where(F.col("round") >= F.col("__newest") - lag).drop("__newest")
+    return running_max(messages, ("arrival",), "round", "__newest").where(F.col("round") >= F.col("__newest") - lag).drop("__newest")
 
 
 def reduced(messages: DataFrame, workers: int, threshold: float = 1.0, kind: str = "average") -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.operators.ordering import running_sums
+
 
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(auc): area under the curve by mean ranks. Ranks come from a table of distinct scores, not of rows."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by.withColumn("__rank", F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2)
+    upto = running_sums(by, (score,), F.col("n"), "__upto")
+    ranked = upto.withColumn("__rank", F.col("__upto") - F.col("n") + (F.col("n") + 1) / 2)
     s = ranked.agg(F.sum(F.col("__rank") * F.col("p")).alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return s.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc"))
 
@@ -18,8 +20,10 @@ def auc(df: DataFrame, score: str, label: str) -> DataFrame:
 def roc_points(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, tpr, fpr) at each distinct score, from the largest."""
     by = df.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    w, every = Window.orderBy(F.desc(score)), Window.partitionBy()
-    return by.select(score, (F.sum("p").over(w) / F.sum("p").over(every)).alias("tpr"), (F.sum("q").over(w) / F.sum("q").over(every)).alias("fpr"))
+    t = by.agg(F.sum("p").alias("__tp"), F.sum("q").alias("__tq"))
+    r = running_sums(running_sums(by, (score,), F.col("p"), "__p"), (score,), F.col("q"), "__q").crossJoin(F.broadcast(t))
+    above = lambda c: (F.col(f"__t{c}") - F.col(f"__{c}") + F.col(c)) / F.col(f"__t{c}")
+    return r.select(score, above("p").alias("tpr"), above("q").alias("fpr"))
 
 
 def log_loss(y: Column, score: Column, limit: float = 7.0) -> Column:

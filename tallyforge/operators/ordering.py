@@ -38,3 +38,21 @@ def running_sums(df: DataFrame, order: tuple[str, ...], value: Column, name: str
     r = _with_offsets(ranged(df.withColumn("__v", value), order[0], ranges), F.sum("__v"))
     upto = F.sum("__v").over(Window.partitionBy(RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     return r.withColumn(name, F.col("__before") + upto).drop(RANGE, "__before", "__v")
+
+
+def running_max(df: DataFrame, order: tuple[str, ...], value: str, name: str, ranges: int = 64) -> DataFrame:
+    """Adds the largest `value` of all rows up to each row in the order of `order`."""
+    r = ranged(df, order[0], ranges)
+    tops = r.groupBy(RANGE).agg(F.max(value).alias("__t"))
+    before = tops.select(RANGE, F.max("__t").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    upto = F.max(value).over(Window.partitionBy(RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return r.join(F.broadcast(before), RANGE).withColumn(name, F.greatest("__before", upto)).drop(RANGE, "__before")
+
+
+def rank_by_count(df: DataFrame, count: str, ties: tuple[str, ...], name: str) -> DataFrame:
+    """Adds places from 0 by falling count, ties in the order of `ties`. Rows of one count are ordered by themselves and
+    shifted by the number of rows with larger counts; that table has a row for each distinct count."""
+    classes = df.groupBy(count).agg(F.count("*").alias("__n"))
+    before = classes.select(count, (F.sum("__n").over(Window.orderBy(F.desc(count))) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(count).orderBy(*ties)) - 1
+    return df.join(before, count).withColumn(name, (F.col("__before") + within).cast("long")).drop("__before")

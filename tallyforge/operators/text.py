@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordering import row_numbers
+from tallyforge.operators.ordering import rank_by_count, row_numbers
 
 TOKEN = "[a-z]+"
 
@@ -56,12 +56,8 @@ def roll_up(tokens: DataFrame, day: str, month: Column, least: int) -> DataFrame
 
 
 def ranked(dictionary: DataFrame) -> DataFrame:
-    """(tok, cnt, rank): ids from 0 by falling count, ties by token. Ranks within count classes are shifted by the
-    number of tokens with larger counts, so the rows of one count are sorted by themselves, not all in one task."""
-    classes = dictionary.groupBy("cnt").agg(F.count("*").alias("__n"))
-    before = classes.withColumn("__before", F.sum("__n").over(Window.orderBy(F.desc("cnt"))) - F.col("__n")).drop("__n")
-    within = F.row_number().over(Window.partitionBy("cnt").orderBy("tok"))
-    return dictionary.join(F.broadcast(before), "cnt").withColumn("rank", (F.col("__before") + within - 1).cast("long")).drop("__before")
+    """(tok, cnt, rank): ids from 0 by falling count, ties by token."""
+    return rank_by_count(dictionary, "cnt", ("tok",), "rank").select("tok", "cnt", "rank")
 
 
 def map_ids(tokens: DataFrame, ids: DataFrame, missing: int = -1) -> DataFrame:

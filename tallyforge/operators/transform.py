@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordering import row_numbers
+from tallyforge.operators.ordering import rank_by_count, row_numbers
 
 
 def batches(df: DataFrame, order: tuple[str, ...], size: int) -> DataFrame:
@@ -69,6 +69,6 @@ def clip(x: Column, low: float, high: float) -> Column:
 
 def renumbered(triples: DataFrame, feature: str = "feature") -> DataFrame:
     """Features numbered by falling number of occurrences, ties by old number."""
-    n = triples.groupBy(feature).agg(F.count("*").alias("__n"))
-    ids = n.withColumn("new_feature", (F.row_number().over(Window.orderBy(F.desc("__n"), feature)) - 1).cast("long")).drop("__n")
+    n = triples.groupBy(feature).agg(F.count("*").alias("__c"))
+    ids = rank_by_count(n, "__c", (feature,), "new_feature").select(feature, "new_feature")
     return triples.join(ids, feature)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyforge.operators import text as X
+from tallyforge.operators.ordering import rank_by_count
 from tallyforge.plans.catalog import query
 from tallyforge.plans.fixtures import TOKENS, table, tokens
 
@@ -97,11 +98,9 @@ r AS (SELECT w1, w2, row_number() OVER (ORDER BY c DESC, w1, w2) - 1 AS gram FRO
 SELECT doc_id, gram, count(*) AS cnt FROM g JOIN r USING (w1, w2) GROUP BY ALL""",
 )
 def ngram_map(spark, d):
-    from pyspark.sql import Window
-
     t = tokens(spark, d)
     known = X.ngram_counts(t, 2, ("doc_id",)).where("cnt >= 5")
-    ids = known.withColumn("gram", (F.row_number().over(Window.orderBy(F.desc("cnt"), "w1", "w2")) - 1).cast("long")).drop("cnt")
+    ids = rank_by_count(known, "cnt", ("w1", "w2"), "gram").select("w1", "w2", "gram")
     return X.ngrams(t, 2, ("doc_id",)).join(ids, ["w1", "w2"]).groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
 
 
