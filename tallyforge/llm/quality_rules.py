@@ -152,16 +152,17 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def references(feats: DataFrame) -> DataFrame:
-    """Histograms of the corpus: a row per language with enough words, and the pooled row (lang null)."""
+    """Histograms of the corpus: a row for each language with enough words (ref "=" and its name), and the pooled one
+    (ref "*")."""
     n_classes, n_common = len(CLASSES) + 2, max(map(len, COMMON_WORDS.values())) + 1
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"a{i}") for i in range(n_classes)] + [F.sum(F.get("common", F.lit(i))).alias(f"b{i}") for i in range(n_common)]
-    by = feats.groupBy("lang").agg(F.sum("n_words").alias("words"), *sums)
-    every = by.agg(F.sum("words").alias("all_words"))
-    own = by.crossJoin(F.broadcast(every)).where((F.col("lang").isNotNull()) & (F.col("words") >= F.col("all_words") * OWN_SHARE)).drop("all_words")
-    pooled = by.agg(F.lit(None).cast("string").alias("lang"), F.sum("words").alias("words"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(n_classes)], *[F.lit(None).cast("long").alias(f"b{i}") for i in range(n_common)])
-    both = own.unionByName(pooled)
+    by = cut(feats.groupBy("lang").agg(F.sum("n_words").alias("words"), *sums), "quality-languages")
+    every = by.agg(F.sum("words")).first()[0] or 0
+    own = by.where(F.col("lang").isNotNull() & (F.col("words") >= F.lit(every * OWN_SHARE))).withColumn("ref", F.concat(F.lit("="), "lang"))
+    pooled = by.agg(F.lit("*").alias("ref"), *[F.sum(f"a{i}").alias(f"a{i}") for i in range(n_classes)], *[F.lit(None).cast("long").alias(f"b{i}") for i in range(n_common)])
+    both = own.drop("lang", "words").unionByName(pooled)
     return both.select(
-        F.col("lang").alias("ref_lang"),
+        "ref",
         F.array(*[F.coalesce(F.col(f"a{i}"), F.lit(0)).cast("double") for i in range(n_classes)]).alias("ref_classes"),
         F.filter(F.array(*[F.col(f"b{i}").cast("double") for i in range(n_common)]), lambda x: x.isNotNull()).alias("ref_common"),
     )
@@ -195,13 +196,13 @@ def _judged(docs: DataFrame, key: str, text: str, lang: str, also: list[Column])
 
 def distances(f: DataFrame, refs: DataFrame) -> DataFrame:
     """Adds char_distance and common_distance to counts; null where a length guard holds or there is no list."""
-    own = refs.where(F.col("ref_lang").isNotNull())
-    pooled = refs.where(F.col("ref_lang").isNull()).select(F.col("ref_classes").alias("pooled_classes"))
-    joined = f.join(F.broadcast(own), f["lang"] == own["ref_lang"], "left").join(F.broadcast(pooled), F.lit(True), "left")
+    known = [r["ref"] for r in refs.select("ref").collect()]  # at most 65
+    named = F.concat(F.lit("="), "lang")
+    joined = f.withColumn("ref", F.when(named.isin(known), named).otherwise(F.lit("*"))).join(F.broadcast(refs), "ref")
     as_double = lambda c: F.transform(c, lambda x: x.cast("double"))
     has_list = (F.size("common") > 1) & (F.size("ref_common") == F.size("common"))
     return joined.select(
         *f.columns,
-        F.when(F.col("n_words") >= MIN_WORDS, js_distance(as_double(F.col("classes")), F.coalesce("ref_classes", "pooled_classes"))).alias("char_distance"),
+        F.when(F.col("n_words") >= MIN_WORDS, js_distance(as_double(F.col("classes")), F.col("ref_classes"))).alias("char_distance"),
         F.when((F.col("n_words") >= MIN_WORDS) & has_list, js_distance(as_double(F.col("common")), F.col("ref_common"))).alias("common_distance"),
     )
