@@ -36,10 +36,10 @@ from tallyforge.llm.token_counts import tokenizer
 
 END = 0
 PAGE = 1 << 16
-#: Words of letters kept: some 50 MB of a worker at most; a tenth of that for other pieces.
-CACHE = 300_000
+#: Words of letters kept: some 100 MB of a worker at most; a tenth of that for other pieces.
+CACHE = 600_000
 #: Bytes of text encoded at a time (more only for a single text).
-SLICE = 6 << 20
+SLICE = 8 << 20
 
 PAGES = T.StructType(
     [
