@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,10 +57,19 @@ def over_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], C
     return df.mapInArrow(run, spark_schema)
 
 
-def small(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Slices without copying, so that what is made per batch stays small."""
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
+def small(batch: pa.RecordBatch, rows: int = 512, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices without copying, of at most `rows` rows and about `most` bytes of text (more only for one long text), so
+    that what is made of a slice stays small."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for name in ("text", "__text"):
+        if name in batch.schema.names:
+            sizes += pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        begin = int(ends[at - 1]) if at else 0
+        stop = min(max(int(np.searchsorted(ends, begin + most, side="right")), at + 1), at + rows)
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def n_words(text):

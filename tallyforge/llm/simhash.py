@@ -19,7 +19,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +40,8 @@ TABLES = tuple(combinations(range(5), 2))
 #: Largest bucket that one task searches whole.
 MOST = 2048
 PIVOTS = 16
+#: Shingles hashed at a time.
+STEP = 1 << 16
 
 
 def fingerprint(text: str | None) -> int:
@@ -49,22 +51,21 @@ def fingerprint(text: str | None) -> int:
         return 0
     joined = b" ".join(words)
     if len(words) <= SHINGLE:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        h = xxhash.xxh64_intdigest
-        hashes = [h(joined[i:j], SEED) for i, j in zip(starts[: 1 - SHINGLE].tolist(), ends[SHINGLE - 1 :].tolist())]
-    return majority(np.array(hashes, np.uint64))
-
-
-def majority(hashes: np.ndarray, step: int = 1 << 16) -> int:
-    """Bits that are set in more than half of the hashes."""
-    votes = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), step):
-        bits = np.unpackbits(hashes[i : i + step].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return majority([[xxhash.xxh64_intdigest(joined, SEED)]])
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate([[0], ends[:-1] + 1])[: 1 - SHINGLE]
+    ends, h = ends[SHINGLE - 1 :], xxhash.xxh64_intdigest
+    return majority([h(joined[i:j], SEED) for i, j in zip(starts[at : at + STEP].tolist(), ends[at : at + STEP].tolist())] for at in range(0, len(ends), STEP))
+
+
+def majority(blocks: Iterable[list[int]]) -> int:
+    """Bits that are set in more than half of all hashes, which come in blocks."""
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in blocks:
+        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int32)
-    return int(((2 * votes > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
+        n += len(hashes)
+    return int(((2 * votes > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum())
 
 
 def _signed(x: int) -> int:

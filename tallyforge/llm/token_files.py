@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import pfor
-from tallyforge.llm.common import shared_dir
+from tallyforge.llm.common import shared_dir, small
 from tallyforge.llm.token_counts import tokenizer
 
 END = 0
@@ -228,7 +228,7 @@ def write_pages(docs: DataFrame, path: str, out: str, key: str = "doc_id", text:
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([first], pa.int64()), pa.array([held], pa.int64()), pa.array([payload], pa.binary())], names=PAGES.fieldNames())
 
         for b in batches:
-            for own in _slices(b):
+            for own in small(b, b.num_rows, SLICE):
                 part = own.column("part")[0].as_py()
                 flat, n = encoder.many(own.column("text"))
                 ends = np.cumsum(n)
@@ -256,17 +256,6 @@ def write_pages(docs: DataFrame, path: str, out: str, key: str = "doc_id", text:
     pages.write.option("compression", "none").parquet(out)
 
 
-def _slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` bytes of text each."""
-    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < batch.num_rows:
-        begin = int(sizes[at - 1]) if at else 0
-        stop = max(int(np.searchsorted(sizes, begin + most)), at + 1)
-        yield batch.slice(at, stop - at)
-        at = stop
-
-
 _DOCS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("doc_id", T.LongType()), T.StructField("local", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
