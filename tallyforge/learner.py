@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions.arrays import matvec
 from tallyforge.operators import cluster, decompose, evaluate, factor, forest, regression
 from tallyforge.operators.ordering import row_numbers
+from tallyforge.scratch import kept
 
 
 @dataclass(frozen=True)
@@ -118,22 +119,13 @@ def medoids(data: DataFrame, key: str, array: str, k: int, candidates: int = 16,
     return Learner(data, Options(**options), lambda: state[:k], lambda m, _: cluster.medoid_swap(data, key, array, m, state[k:]), lambda m, d: cluster.assign(d, array, table(m)), lambda m: -cluster.medoid_cost(data, array, table(m)).first()[0])
 
 
-def _kept(df: DataFrame, label: str) -> DataFrame:
-    """A table written to the shared folder: the state of a pass."""
-    from tallyforge.plans.scratch import scratch
-
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def topics(triples: DataFrame, k: int, alpha: float = 0.001, beta: float = 0.0001, inner: int = 3, **options) -> Learner:
     """Topic model over counts (doc, term, s): inner document steps, then a model step, a pass."""
     o = Options(**options)
 
     def start():
         h = lambda i: F.pmod(F.xxhash64("term", F.lit(i + 100 * o.seed)), F.lit(1000)) / 1000.0 + 0.1
-        return _kept(triples.select("term").distinct().select("term", F.array(*[h(i) for i in range(k)]).alias("m")), "topics")
+        return kept(triples.select("term").distinct().select("term", F.array(*[h(i) for i in range(k)]).alias("m")), "topics")
 
     def users(model, data):
         u = factor.start_users(data, k)
@@ -141,7 +133,7 @@ def topics(triples: DataFrame, k: int, alpha: float = 0.001, beta: float = 0.000
             u = factor.lda_user_step(data, u, model, k, alpha)
         return u
 
-    step = lambda m, _: _kept(factor.lda_model_step(triples, users(m, triples), m, k, beta), "topics")
+    step = lambda m, _: kept(factor.lda_model_step(triples, users(m, triples), m, k, beta), "topics")
     return Learner(triples, o, start, step, users, lambda m: factor.lda_loglik(triples, users(m, triples), m, k).first()["ll"])
 
 
@@ -150,7 +142,7 @@ def nmf(triples: DataFrame, k: int, prior: float = 0.01, inner: int = 3, **optio
 
     def start():
         h = lambda i: F.pmod(F.xxhash64("term", F.lit(i)), F.lit(1000)) / 1000.0 + 0.1
-        return _kept(triples.select("term").distinct().select("term", F.array(*[h(i) for i in range(k)]).alias("m")), "nmf")
+        return kept(triples.select("term").distinct().select("term", F.array(*[h(i) for i in range(k)]).alias("m")), "nmf")
 
     def users(model, data):
         gram = decompose.moments(model, "m", k)[2].tolist()
@@ -160,11 +152,11 @@ def nmf(triples: DataFrame, k: int, prior: float = 0.01, inner: int = 3, **optio
         return u
 
     def step(model, _):
-        u = _kept(users(model, triples), "nmf-users")
+        u = kept(users(model, triples), "nmf-users")
         gram = decompose.moments(u, "u", k)[2].tolist()
         turned = triples.select(F.col("term").alias("doc"), F.col("doc").alias("term"), "s")
         new = factor.nmf_user_step(turned, model.select(F.col("term").alias("doc"), F.col("m").alias("u")), u.select(F.col("doc").alias("term"), F.col("u").alias("m")), gram, prior)
-        return _kept(new.select(F.col("doc").alias("term"), F.col("u").alias("m")), "nmf")
+        return kept(new.select(F.col("doc").alias("term"), F.col("u").alias("m")), "nmf")
 
     return Learner(triples, Options(**options), start, step, users)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ordering import rank_by_count, row_numbers
+from tallyforge.scratch import kept
 
 TOKEN = "[a-z]+"
 
@@ -22,9 +23,11 @@ def dictionary(tokens: DataFrame, column: str = "tok") -> DataFrame:
 
 def first_seen_ids(tokens: DataFrame, order: tuple[str, ...], column: str = "tok") -> DataFrame:
     """(tok, cnt, id): ids from 0 by first occurrence in the given order."""
-    agg = tokens.groupBy(column).agg(F.count("*").alias("cnt"), F.min(F.struct(*order)).alias("__first"))
-    flat = agg.select(column, "cnt", *[F.col(f"__first.{c}").alias(f"__{c}") for c in order])
-    return row_numbers(flat, tuple(f"__{c}" for c in order), "id").select(column, "cnt", "id")
+    names = [f"__{c}" for c in order]
+    g = tokens.groupBy(column, *[F.col(c).alias(n) for c, n in zip(order[:-1], names)]).agg(F.count("*").alias("cnt"), F.min(order[-1]).alias(names[-1]))
+    for i in range(len(order) - 2, -1, -1):  # plain numbers in every buffer, so that all steps are hash aggregates
+        g = g.groupBy(column, *names[:i]).agg(F.sum("cnt").alias("cnt"), *[F.min_by(n, names[i]).alias(n) for n in names[i + 1 :]], F.min(names[i]).alias(names[i]))
+    return row_numbers(kept(g, "first-seen"), tuple(names), "id").select(column, "cnt", "id")
 
 
 def trim(dictionary: DataFrame, least: int) -> DataFrame:

@@ -25,7 +25,7 @@ def src_putback(spark, d):
 
 @query("src_file", "SELECT 0 AS file_no, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 1, count(*) FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT 2, count(*) FROM orders WHERE o_orderkey % 3 = 2")
 def src_file(spark, d):
-    from tallyforge.plans.scratch import scratch
+    from tallyforge.scratch import scratch
 
     base = scratch(spark, "numbered")
     for n in range(3):
@@ -141,7 +141,7 @@ def src_tfrecord(spark, d):
 @query("src_matfiles", "SELECT CAST(s_suppkey AS BIGINT) AS \"row\", CAST(s_nationkey AS BIGINT) AS col, CAST(s_acctbal AS DOUBLE) AS value FROM supplier")
 def src_matfiles(spark, d):
     """A sparse matrix written as text triples and read with its schema."""
-    from tallyforge.plans.scratch import scratch
+    from tallyforge.scratch import scratch
 
     path = scratch(spark, "matrix")
     table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal").write.mode("overwrite").csv(path, sep=" ")
@@ -201,7 +201,7 @@ def sink_mat(spark, d):
 
 @query("sink_file", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")
 def sink_file(spark, d):
-    from tallyforge.plans.scratch import scratch
+    from tallyforge.scratch import scratch
 
     path = scratch(spark, "blocks")
     files.write_blocks(table(spark, d, "orders"), path, 1000)
@@ -210,7 +210,7 @@ def sink_file(spark, d):
 
 @query("model_save_load", f"WITH {SAMPLES} SELECT y, count(*) AS n FROM smp GROUP BY y")
 def model_save_load(spark, d):
-    from tallyforge.plans.scratch import scratch
+    from tallyforge.scratch import scratch
 
     keep = files.Checkpoints(spark, scratch(spark, "model"), keep=2)
     for v in range(3):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import allreduce as R
 from tallyforge.plans.catalog import query
 from tallyforge.plans.fixtures import SAMPLES, samples, table
-from tallyforge.plans.scratch import scratch
+from tallyforge.scratch import scratch
 from tallyforge.streaming.passes import RunningSums, StreamingPass, table_stream
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -15,3 +15,10 @@ def scratch(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="tallyforge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tallyforge-plans/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written as a table under the shared folder and read back: computed once, whatever reads it later."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
