@@ -1,15 +1,17 @@
 """Benchmark decontamination: BM25 over an inverted index of the test items, searched by block-max WAND.
 
 Every text is cut in overlapping passages, and every passage is a query. A test item's score for a passage is the BM25
-sum over their common terms as a share of the item's score for its own text, so one threshold serves items of any
-length. Search is safe: it returns every item at or above the threshold. It skips by upper bounds, as WAND does: a
+sum over their common terms as a share of the item's score for its own text. Items are classed by length, and passages
+grow with the class, so that a passage holds nearly all of any copy; what a copy with COVER of the item's shingles may
+still lack is bounded for each item, and where that is more than 1 - THRESHOLD, the item's threshold is lower. So one
+threshold serves items of any length. Search is safe: it returns every item at or above the threshold. It skips by upper bounds, as WAND does: a
 passage whose terms' largest weights don't reach the threshold is dropped; then blocks of items whose block maxima
 don't reach it; within the blocks left, cursors over the postings move by pivot. What is retrieved is verified on the
 text: the item's question (its words but the last third) and its answer (the last third) must both be covered by the
 passage's five-word shingles, to COVER or more; items with fewer words than a shingle are compared whole.
 
-The items are indexed in chunks of ITEMS, so that an index has a proven size (terms of ITEMS items times BLOCKS
-numbers), with document frequencies over all items; a text meets every chunk in the same task. No passage, text or pair
+The items of a class are indexed in chunks of ITEMS, fewer where they are longer, so that an index has a proven size
+(ITEMS times LONGEST words times BLOCKS numbers, or one item), with document frequencies over all items; a text meets every chunk in the same task. No passage, text or pair
 is shuffled: only found (document, item) pairs leave the scan.
 
 Defined cases: null and empty texts hold nothing; a null, empty or wordless item is never found; items with equal texts
@@ -36,6 +38,8 @@ TERM = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
 #: Words of a passage and of a step; share of an item's own score from which it is retrieved; share to be covered.
 PASSAGE, STEP, THRESHOLD, COVER, SHINGLE = 96, 48, 0.45, 0.8, 5
+#: Words of the longest item that is sought in passages of PASSAGE words; both double from class to class.
+LONGEST = 64
 ITEMS, BLOCK = 1024, 8
 
 
@@ -44,9 +48,13 @@ def terms(text: str | None) -> list[str]:
 
 
 class Index:
-    """Postings of a chunk of items, weights as shares of each item's own score, with maxima by block of items."""
+    """Postings of a chunk of items, weights as shares of each item's own score, with maxima by block of items.
 
-    def __init__(self, items: list[tuple[int, list[str]]], df: dict[str, int], n: int, mean: float):
+    The weights of item i are divided by scale[i], which is 1 unless a copy may score less than the threshold."""
+
+    def __init__(self, items: list[tuple[int, list[str]]], df: dict[str, int], n: int, mean: float, passage: int = PASSAGE, threshold: float = THRESHOLD, cover: float = COVER):
+        self.passage = passage
+        self.scale: list[float] = []
         self.keys = [k for k, _ in items]
         self.words = [w for _, w in items]
         self.term_ids: dict[str, int] = {}
@@ -58,7 +66,9 @@ class Index:
                 idf = math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5))
                 own[self.term_ids.setdefault(t, len(self.term_ids))] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean))
             whole = sum(own.values())
-            weights.append({t: x / whole for t, x in own.items()})
+            least = surely_kept(w, {t: own[self.term_ids[t]] / whole for t in set(w)}, passage, cover)
+            self.scale.append(max(min(1.0, least / threshold), 1e-6))
+            weights.append({t: x / whole / self.scale[-1] for t, x in own.items()})
         by_term: list[list[tuple[int, float]]] = [[] for _ in self.term_ids]
         for i, own in enumerate(weights):
             for t, x in own.items():
@@ -114,9 +124,36 @@ class Index:
         return out
 
 
-def passages(n: int) -> list[tuple[int, int]]:
-    """Word ranges that cover n words: each pair of words at a distance under STEP is together in one."""
-    return [(i, min(i + PASSAGE, n)) for i in range(0, max(n - PASSAGE + STEP, 1), STEP)] if n else []
+def passage_words(item: int) -> int:
+    """Words of the passages in which an item of so many words is sought."""
+    return PASSAGE << max(0, (-(-item // LONGEST) - 1).bit_length())
+
+
+def surely_kept(words: list[str], share: dict[str, float], passage: int, cover: float) -> float:
+    """Lower bound of an item's score, as a share, for the best passage of a copy with cover of its shingles.
+
+    A term is gone only if all shingles with it are, and a missing shingle takes part in five terms at most. At the
+    worst place, half of what an item is longer than a step lies beyond the better of two passages."""
+    own = _shingles(words)
+    held: dict[str, int] = dict.fromkeys(share, 0)
+    for s in own:
+        for t in set(s):
+            held[t] += 1
+    gone = len(own) - math.ceil(cover * len(own) - 1e-9)
+    room, kept = SHINGLE * (gone + max(0, -(-(len(words) - passage // 2) // 2))), 1.0
+    for t, x in sorted(share.items(), key=lambda i: min(held[i[0]], SHINGLE) / i[1]):
+        if room <= 0:
+            break
+        cost = min(held[t], SHINGLE)
+        kept -= x * min(1.0, room / cost)
+        room -= cost
+    return kept
+
+
+def passages(n: int, size: int = PASSAGE) -> list[tuple[int, int]]:
+    """Word ranges that cover n words: each pair of words at a distance under half a size is together in one."""
+    step = size * STEP // PASSAGE
+    return [(i, min(i + size, n)) for i in range(0, max(n - size + step, 1), step)] if n else []
 
 
 def candidates(index: Index, texts: list[list[str]], threshold: float = THRESHOLD) -> Iterator[tuple[int, int, int, int, float]]:
@@ -128,15 +165,16 @@ def candidates(index: Index, texts: list[list[str]], threshold: float = THRESHOL
     ids = np.array([x for w in texts for x in map(get, w, repeat(none))], np.int64)
     begin, spans = 0, []
     for n, w in enumerate(texts):
-        spans += [(n, begin, begin + s, begin + e) for s, e in passages(len(w))]
+        spans += [(n, begin, begin + s, begin + e) for s, e in passages(len(w), index.passage)]
         begin += len(w)
     if not spans:
         return
     spans = np.array(spans, np.int64)
     tops = np.concatenate([[0], np.cumsum(index.largest[ids].astype(np.float64))])
     spans = spans[tops[spans[:, 3]] - tops[spans[:, 2]] >= threshold * (1 - 1e-6)]  # repeats counted: an upper bound still
-    for at in range(0, len(spans), 4096):
-        yield from _search_spans(index, ids, spans[at : at + 4096], threshold)
+    group = max(4096 * PASSAGE // index.passage, 1)
+    for at in range(0, len(spans), group):
+        yield from _search_spans(index, ids, spans[at : at + group], threshold)
 
 
 def _search_spans(index: Index, ids: np.ndarray, spans: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
@@ -193,8 +231,8 @@ def coverage(item: list[str], around: list[str]) -> tuple[float, float]:
     return share(item[:cut]), share(item[cut:])
 
 
-def build(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Iterator[Index]:
-    """Indexes of the items, ITEMS at a time; frequencies are those of all items.
+def build(benchmark: DataFrame, key: str = "item_id", text: str = "text", threshold: float = THRESHOLD, cover: float = COVER) -> Iterator[Index]:
+    """Indexes of the items, by class of length and ITEMS at a time; frequencies are those of all items.
 
     The driver holds one chunk of items and the frequencies of that chunk's terms."""
     spark = benchmark.sparkSession
@@ -217,8 +255,10 @@ def build(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> Ite
         wanted = own.select(F.explode("words").alias("t")).distinct()
         counts = {r["t"]: r["df"] for r in df.join(wanted, "t", "left_semi").toLocalIterator()}
         rows = sorted((r["item"], list(r["words"])) for r in own.toLocalIterator())
-        for i in range(0, len(rows), ITEMS):
-            yield Index(rows[i : i + ITEMS], counts, stats["n"], stats["mean"])
+        for size in sorted({passage_words(len(w)) for _, w in rows}):
+            same, most = [x for x in rows if passage_words(len(x[1])) == size], max(ITEMS * PASSAGE // size, 1)
+            for i in range(0, len(same), most):
+                yield Index(same[i : i + most], counts, stats["n"], stats["mean"], size, threshold, cover)
 
 
 _FOUND = T.StructType(
@@ -237,7 +277,7 @@ def find_in(index: Index, texts: list[list[str]], threshold: float = THRESHOLD,
     """For each text: (item key, score, question cover, answer cover, first word) of each verified item, best passage."""
     best: list[dict[int, tuple]] = [{} for _ in texts]
     for n, s, e, item, score in candidates(index, texts, threshold):
-        own = index.words[item]
+        own, score = index.words[item], score * index.scale[item]
         q, a = coverage(own, texts[n][max(0, s - len(own)) : e + len(own)])
         if q >= cover and a >= cover and (item not in best[n] or score > best[n][item][0]):
             best[n][item] = (score, q, a, s)
@@ -247,7 +287,7 @@ def find_in(index: Index, texts: list[list[str]], threshold: float = THRESHOLD,
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, cover: float = COVER) -> DataFrame:
     """One row per document row and test item found in it."""
     sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(i) for i in build(benchmark, item_key, item_text)]
+    shared = [sc.broadcast(i) for i in build(benchmark, item_key, item_text, threshold, cover)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -418,6 +418,18 @@ def test_decontamination(spark, docs):
     assert decontamination.contaminated(helpers.empty(spark), bench).count() == 0
 
 
+@pytest.mark.parametrize("n", [200, 400, 2000])
+def test_long_items_are_found_at_any_place(spark, n):
+    r = random.Random(n)
+    long = lambda k: " ".join(r.choice(helpers.PROSE) + r.choice(helpers.PROSE) + r.choice(helpers.PROSE) for _ in range(k))
+    items = [(i, long(n)) for i in range(4)] + [(9, long(30))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = [(10 * i + j, long(before) + " " + t + " " + long(90), "en", "s", 1) for i, t in items for j, before in enumerate((0, 17, 43, n // 2 + 7))] + [(999, long(3 * n), "en", "s", 1)]
+    found = decontamination.contaminated(spark.createDataFrame(docs, helpers.SCHEMA), bench).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == {(10 * i + j, i) for i, _ in items for j in range(4)}
+    assert all(x["score"] <= 1 + 1e-9 and x["question_cover"] == x["answer_cover"] == 1 for x in found)
+
+
 def test_items_in_chunks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, helpers.prose(i, 60)) for i in range(12)], "item_id long, text string")
     whole = {tuple(r) for r in decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect()}
