@@ -7,8 +7,10 @@ still lack is bounded for each item, and where that is more than 1 - THRESHOLD,
 threshold serves items of any length. Search is safe: it returns every item at or above the threshold. It skips by upper bounds, as WAND does: a
 passage whose terms' largest weights don't reach the threshold is dropped; then blocks of items whose block maxima
 don't reach it; within the blocks left, cursors over the postings move by pivot. What is retrieved is verified on the
-text: the item's question (its words but the last third) and its answer (the last third) must both be covered by the
-passage's five-word shingles, to COVER or more; items with fewer words than a shingle are compared whole.
+text: the five-word shingles of the words around the passage must cover the item to COVER or more, with words of both
+its question (its words but the last third) and its answer (the last third) among them; or they must cover question and
+answer each to COVER or more, so that words between the two don't matter. Items with fewer words than a shingle are
+compared whole.
 
 The items of a class are indexed in chunks of ITEMS, fewer where they are longer, so that an index has a proven size
 (ITEMS times LONGEST words times BLOCKS numbers, or one item), with document frequencies over all items; a text meets every chunk in the same task. No passage, text or pair
@@ -216,8 +218,10 @@ def _shingles(words: list[str]) -> set[tuple]:
     return {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)} if len(words) >= SHINGLE else {tuple(words)} if words else set()
 
 
-def coverage(item: list[str], around: list[str]) -> tuple[float, float]:
-    """Shares of the question's and of the answer's shingles found in a stretch of words."""
+def coverage(item: list[str], around: list[str]) -> tuple[float, float, float]:
+    """Shares of the item's, the question's and the answer's shingles found in a stretch of words.
+
+    The item's is 0 if a part has no word in the stretch."""
     cut = len(item) - max(len(item) // 3, min(len(item), SHINGLE))
     have = _shingles(around)
 
@@ -228,7 +232,9 @@ def coverage(item: list[str], around: list[str]) -> tuple[float, float]:
             return float(any(around[i : i + run] == part for i in range(len(around) - run + 1)))
         return len(need & have) / len(need) if need else 1.0
 
-    return share(item[:cut]), share(item[cut:])
+    words = set(around)
+    both = all(not part or not words.isdisjoint(part) for part in (item[:cut], item[cut:]))
+    return share(item) if both else 0.0, share(item[:cut]), share(item[cut:])
 
 
 def build(benchmark: DataFrame, key: str = "item_id", text: str = "text", threshold: float = THRESHOLD, cover: float = COVER) -> Iterator[Index]:
@@ -278,8 +284,8 @@ def find_in(index: Index, texts: list[list[str]], threshold: float = THRESHOLD,
     best: list[dict[int, tuple]] = [{} for _ in texts]
     for n, s, e, item, score in candidates(index, texts, threshold):
         own, score = index.words[item], score * index.scale[item]
-        q, a = coverage(own, texts[n][max(0, s - len(own)) : e + len(own)])
-        if q >= cover and a >= cover and (item not in best[n] or score > best[n][item][0]):
+        whole, q, a = coverage(own, texts[n][max(0, s - len(own)) : e + len(own)])
+        if (whole >= cover or min(q, a) >= cover) and (item not in best[n] or score > best[n][item][0]):
             best[n][item] = (score, q, a, s)
     return [[(index.keys[i], *v) for i, v in sorted(b.items())] for b in best]
 

@@ -430,6 +430,29 @@ def test_long_items_are_found_at_any_place(spark, n):
     assert all(x["score"] <= 1 + 1e-9 and x["question_cover"] == x["answer_cover"] == 1 for x in found)
 
 
+def test_items_with_one_edited_word(spark):
+    r = random.Random(3)
+    words = lambda k: [r.choice(helpers.PROSE) + r.choice(helpers.PROSE) + r.choice(helpers.PROSE) for _ in range(k)]
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    items = [words(n) for n in (15, 22, 38, 59, 130)]
+    docs, want = [], set()
+    for n, item in enumerate(items):
+        cut = len(item) - max(len(item) // 3, 5)
+        for at in range(len(item)):
+            edited = [*item[:at], "changed", *item[at + 1 :]]
+            docs.append((1000 * n + at, " ".join([*words(31), *edited, *words(40)]), "en", "s", 1))
+            parts = [slice(0, None)], [slice(0, cut), slice(cut, None)]  # all of it, or the question and the answer
+            if any(all(len(grams(item[p]) & grams(edited[p])) >= 0.8 * len(grams(item[p])) for p in way) for way in parts):
+                want.add((1000 * n + at, n))
+        docs.append((1000 * n + 900, " ".join([*item[:cut], "answer", *item[cut:]]), "en", "s", 1))  # words between the parts
+        docs.append((1000 * n + 901, " ".join([*item[:cut], *words(60)]), "en", "s", 1))  # the question only
+        want.add((1000 * n + 900, n))
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in enumerate(items)], "item_id long, text string")
+    frame = spark.createDataFrame(docs, helpers.SCHEMA)
+    assert {(x["doc_id"], x["item_id"]) for x in decontamination.contaminated(frame, bench).collect()} == want
+    assert decontamination.drop_contaminated(frame, bench).count() == len(docs) - len({d for d, _ in want})
+
+
 def test_items_in_chunks(spark, docs, monkeypatch):
     bench = spark.createDataFrame([(i, helpers.prose(i, 60)) for i in range(12)], "item_id long, text string")
     whole = {tuple(r) for r in decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect()}
