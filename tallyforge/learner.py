@@ -110,13 +110,14 @@ def kmeans(data: DataFrame, key: str, array: str, k: int, **options) -> Learner:
     return Learner(data, Options(**options), start, step, lambda m, d: cluster.assign(d, array, table(m)), lambda m: -cluster.assign(data, array, table(m)).agg(F.avg("d2")).first()[0])
 
 
-def medoids(data: DataFrame, key: str, array: str, k: int, candidates: int = 16, **options) -> Learner:
-    """k-medoids by greedy swaps with a fixed list of candidates."""
+def medoids(data: DataFrame, key: str, array: str, k: int, candidates: int | None = None, **options) -> Learner:
+    """k-medoids by greedy swaps: every row is a candidate, or the first so many after the k that start."""
     spark = data.sparkSession
-    rows = lambda: [(i, r[array]) for i, r in enumerate(data.select(key, array).orderBy(key).limit(k + candidates).collect())]
+    rows = lambda: [(i, r[array]) for i, r in enumerate(data.select(key, array).orderBy(key).limit(k + (candidates or 0)).collect())]
     table = lambda m: spark.createDataFrame(m, "cid int, c array<double>")
     state = rows()
-    return Learner(data, Options(**options), lambda: state[:k], lambda m, _: cluster.medoid_swap(data, key, array, m, state[k:]), lambda m, d: cluster.assign(d, array, table(m)), lambda m: -cluster.medoid_cost(data, array, table(m)).first()[0])
+    step = lambda m: cluster.medoid_pass(data, key, array, m)[0] if candidates is None else cluster.medoid_swap(data, key, array, m, state[k:])
+    return Learner(data, Options(**options), lambda: state[:k], lambda m, _: step(m), lambda m, d: cluster.assign(d, array, table(m)), lambda m: -cluster.medoid_cost(data, array, table(m)).first()[0])
 
 
 def topics(triples: DataFrame, k: int, alpha: float = 0.001, beta: float = 0.0001, inner: int = 3, **options) -> Learner:

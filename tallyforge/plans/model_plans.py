@@ -157,9 +157,7 @@ def kmeans_merge(spark, d):
 @query("pam", None)
 def pam(spark, d):
     e = dense(spark, d, 1, 64).persist()
-    rows = [(int(r["vec_id"]), r["x"]) for r in e.orderBy("vec_id").limit(12).collect()]
-    med = C.medoid_swap(e, "vec_id", "x", [(i, x) for i, (_, x) in enumerate(rows[:4])], rows[4:])
-    got = C.assign(e, "x", spark.createDataFrame(med, "cid int, c array<double>"))
+    got = C.assign(e, "x", spark.createDataFrame(C.pam(e, "vec_id", "x", 4), "cid int, c array<double>"))
     return got.groupBy("cid").agg(F.count("*").alias("n"), F.round(F.sum(F.sqrt("d2")), 4).alias("cost"))
 
 

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyforge import learner
 from tallyforge.functions import special as S
 from tallyforge.operators import cluster, decompose, forest, huffman, layers, ordering, regression, text, transform, updaters
 from tallyforge.sources import files, text_formats
@@ -109,6 +110,25 @@ def test_medoid_swap_never_raises_the_cost(spark, grid):
     assert cost(cluster.medoid_swap(df, "id", "a", start, [(r[0], r[1]) for r in rows[3:12]])) <= cost(start) + 1e-9
 
 
+@pytest.mark.parametrize("block", [4096, 17])
+def test_pam_weighs_every_row(spark, monkeypatch, block):
+    monkeypatch.setattr(cluster, "OPTIONS", block)
+    x = np.random.default_rng(5).normal(size=(90, 3)) + 5 * (np.arange(90) // 30)[:, None]  # the first rows are all in one group
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    own, changed = [0, 1, 2], True
+    while changed:
+        changed = False
+        for i in range(3):
+            costs = [d[:, [*own[:i], n, *own[i + 1 :]]].min(axis=1).sum() for n in range(90)]
+            if min(costs) < costs[own[i]] - 1e-9:
+                own[i], changed = int(np.argmin(costs)), True
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, a array<double>").repartition(3)
+    got = cluster.pam(df, "id", "a", 3)
+    assert [c for _, c in got] == [[float(v) for v in x[n]] for n in own] and max(own) > 60
+    m = learner.medoids(df, "id", "a", 3, passes=4).train()
+    assert abs(m.scores[-1] + d[:, own].min(axis=1).sum()) < 1e-6
+
+
 def test_svd_ica_cg(grid):
     df, rows = grid
     x = np.array([r[1] for r in rows])
