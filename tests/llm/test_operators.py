@@ -490,6 +490,58 @@ def test_licence_windows_against_all_windows():
                 assert "A" in found and found["A"] == pytest.approx(best)
 
 
+NOTICES = [(name, t) for name, ts in licenses.TEMPLATES.items() for t in ts]
+
+
+def test_every_template_and_its_near_variants_get_their_own_name():
+    s, r = licenses.Scanner(), random.Random(5)
+    for name, text in NOTICES:
+        words = text.replace("License", "Licence").split() if len(text) < 80 else text.split()
+        for _ in range(len(words) // 40):  # one word in forty changed, but none that tells licences apart
+            i = r.randrange(1, len(words) - 1)
+            near = licenses.normalised(" ".join(words[i - 1 : i + 2]))
+            if not licenses.telling(near, 0, len(near)):
+                words[i] = "altered"
+        lined = "\n * ".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9))
+        for t in (text, text.upper(), f"{helpers.prose(1)}\n{text}\n{helpers.prose(2)}", f"// {lined}\n"):
+            assert [x[0] for x in s.scan(t)] == [name], t
+    every = "\n\nsome words between them\n\n".join(t for _, t in NOTICES)
+    assert [x[0] for x in s.scan(every)] == [n for n, _ in NOTICES]
+
+
+def test_words_that_tell_licences_apart():
+    s = licenses.Scanner()
+    names = lambda t: [x[0] for x in s.scan(t)]
+    assert names("the GNU Affero General Public License, version 3") == ["AGPL-3.0"]
+    assert names("This work is licensed under the GNU General Public License, version 9.") == ["GPL"]  # no version that is known
+    assert names("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"] and names("Licensed under CC BY 2.5.") == []
+    assert names("SPDX-License-Identifier: Foo") == names("Released under the") == names("the Artistic Licence 1.0") == []
+
+
+def test_finds_against_the_best_window_of_every_template():
+    s, r = licenses.Scanner(), random.Random(12)
+    short = [(n, t) for n, t in NOTICES if len(t) < 130]
+    for _ in range(60):
+        (_, a), (_, b) = r.choice(short), r.choice(short)
+        words = f"{helpers.prose(r.randrange(99), 6)} {a} {b}".split()
+        del words[r.randrange(len(words))]
+        plain = licenses.normalised(" ".join(words))
+        found = s.scan(" ".join(words))
+        for name, n, d, first, end in found:  # each find is a window with this Dice, and with these telling words
+            target = next(b for own, i, b in s.templates if (own, i) == (name, n))
+            assert d == pytest.approx(licenses.dice(collections.Counter(licenses.bigrams(plain[first:end])), target)) and d >= s.threshold
+            assert licenses.telling(plain, first, end) == s.telling[[x[:2] for x in s.templates].index((name, n))]
+        grams = licenses.bigrams(plain)
+        for (name, n, target), own in zip(s.templates, s.telling):  # and no window of any template is passed over
+            for i in range(len(grams)):
+                for j in range(i + 1, min(len(grams), i + 2 * target.total()) + 1):
+                    window = collections.Counter(grams[i:j])
+                    beside = licenses.telling(plain, max(i - 1, 0), i) | licenses.telling(plain, j + 1, min(j + 2, len(plain)))
+                    clear = not (beside & licenses.MODIFIERS or any(w[0].isdigit() for w in beside))
+                    if licenses.dice(window, target) >= s.threshold and clear and licenses.telling(plain, i, j + 1) == own:
+                        assert any(x[3] < j + 1 and x[4] > i for x in found), (name, n, plain[i : j + 1])
+
+
 def test_licence_scan(spark, docs):
     text = "Intro words.\nLicensed under CC BY-NC 4.0.\nMore words here.\nReleased*** under*** the*** MIT*** License.***\nlicensed under nothing"
     extra = spark.createDataFrame([(800, text, "en", "s", 1), (None, "THIS WORK IS LICENSED UNDER THE GNU GENERAL PUBLIC LICENSE, VERSION 3.", None, None, None)], helpers.SCHEMA)
