@@ -1,29 +1,30 @@
 """Exact token counts of whole texts, huge ones by overlapping chunks that are spliced where they agree.
 
 A text up to `huge` characters is encoded in one call. A longer one is encoded in chunks that overlap; each call
-gives ids with character offsets. Two neighbouring chunks are spliced at a token boundary inside their overlap that
+gives ids with their places in the text. Two neighbouring chunks are spliced at a token boundary inside their overlap that
 is proven stable: both encodings have a boundary there, it follows white space that a letter or digit follows (so
 that no normalisation or pre-token crosses it), and at least `agree` tokens on either side are the same in both.
 If no such place exists the overlap is doubled, up to one call over the rest of the text: the count is always
 that of the whole text.
 
-Defined cases: null and empty texts have 0 tokens and 0 bytes; repeated rows are counted each; an empty table gives
-an empty result.
+Defined cases: null and empty texts have 0 tokens and 0 bytes; very long texts are counted whole, one without any
+stable boundary in one call at last; repeated rows are counted each; an empty table gives an empty result; further
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import os
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import over_batches
 
-#: Characters from which a text is encoded in chunks, the length of a chunk, and the first overlap.
-HUGE, CHUNK, OVERLAP, AGREE = 1_000_000, 250_000, 2_000, 8
+#: Characters beyond which a text is encoded in chunks, the length of a chunk, the first overlap, and the tokens that
+#: must agree on either side of a splice. A chunk keeps what one call holds at a time small.
+HUGE, CHUNK, OVERLAP, AGREE = 20_000, 16_000, 400, 8
 
 _loaded: dict = {}
 
@@ -52,10 +53,26 @@ def count_batch(t, texts: list[str]) -> list[int]:
     return [len(x) for x in t.encode(texts, num_threads=1)]
 
 
-def _encoded(t, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    e = t.encode(text, add_special_tokens=False)
-    o = np.array(e.offsets, np.int64).reshape(-1, 2)
-    return np.array(e.ids, np.int64), o[:, 0], o[:, 1]
+class Chunk:
+    """The encoding of text[begin:end]: its ids, and the token that starts at a place of the text."""
+
+    def __init__(self, t, text: str, begin: int, end: int):
+        self.begin, self.end = begin, min(end, len(text))
+        self.encoding = t.encode(text[begin : self.end], add_special_tokens=False)
+        self.ids = self.encoding.ids
+
+    def starts(self, at: int) -> int | None:
+        """The number of the token that starts at a place of the text, or None."""
+        i = self.encoding.char_to_token(at - self.begin)
+        return i if i is not None and self.encoding.token_to_chars(i)[0] == at - self.begin else None
+
+    def place(self, i: int) -> int:
+        return self.encoding.token_to_chars(i)[0] + self.begin
+
+    def before(self, at: int) -> int:
+        """Tokens that start before a place of the text."""
+        i = self.starts(at)
+        return i if i is not None else sum(s + self.begin < at for s, _ in self.encoding.offsets)
 
 
 def _stable(text: str, at: int) -> bool:
@@ -63,22 +80,19 @@ def _stable(text: str, at: int) -> bool:
     return 0 < at < len(text) and text[at - 1] in " \n" and text[at].isascii() and text[at].isalnum()
 
 
-def splice(text: str, left: tuple, left_at: int, right: tuple, right_at: int, agree: int = AGREE) -> int | None:
-    """A position in text where the encodings of two overlapping chunks may be joined, or None.
-
-    left and right are (ids, starts, ends) with offsets into their chunks, which begin at left_at and right_at."""
-    starts_l, starts_r = left[1] + left_at, right[1] + right_at
-    common = np.intersect1d(starts_l, starts_r)
-    middle = (right_at + (left[2][-1] + left_at if len(left[2]) else right_at)) // 2
-    for at in sorted(common.tolist(), key=lambda x: abs(x - middle)):
-        if not _stable(text, at):
-            continue
-        i, j = int(np.searchsorted(starts_l, at)), int(np.searchsorted(starts_r, at))
-        if i < agree or j < agree or len(starts_l) - i < agree or len(starts_r) - j < agree:
-            continue
-        same_ids = np.array_equal(left[0][i - agree : i + agree], right[0][j - agree : j + agree])
-        if same_ids and np.array_equal(starts_l[i - agree : i + agree], starts_r[j - agree : j + agree]):
-            return at
+def splice(text: str, left: Chunk, right: Chunk, agree: int = AGREE) -> int | None:
+    """A position in text where the encodings of two overlapping chunks may be joined, or None: the stable common
+    boundary nearest to the middle of the overlap."""
+    middle, reach = (right.begin + left.end) // 2, (left.end - right.begin) // 2 + 1
+    for d in range(reach + 1):
+        for at in (middle - d, middle + d) if d else (middle,):
+            if not right.begin <= at < left.end or not _stable(text, at):
+                continue
+            i, j = left.starts(at), right.starts(at)
+            if i is None or j is None or min(i, j, len(left.ids) - i, len(right.ids) - j) < agree:
+                continue
+            if left.ids[i - agree : i + agree] == right.ids[j - agree : j + agree] and all(left.place(i + k) == right.place(j + k) for k in range(-agree, agree)):
+                return at
     return None
 
 
@@ -86,28 +100,23 @@ def count_huge(t, text: str, chunk: int = CHUNK, overlap: int = OVERLAP, agree:
     """The number of tokens of a text that is encoded chunk by chunk."""
     if not hasattr(t, "encode_batch"):
         return len(t.encode(text))  # a sentencepiece model gives no offsets into the text; it is linear in its length
-    total, begin, counted_from = 0, 0, 0  # tokens so far; where the held chunk begins; where its counting begins
-    held = _encoded(t, text[:chunk])
-    end = min(chunk, len(text))
-    while end < len(text):
+    total, counted_from = 0, 0  # tokens so far; where the held chunk's counting begins
+    held = Chunk(t, text, 0, chunk)
+    while held.end < len(text):
         wide = overlap
         while True:
-            next_begin = max(begin, end - wide)
-            if next_begin <= counted_from:  # the overlap has eaten the chunk: encode from its start, twice as far
-                span = 2 * (end - begin)
-                end = min(len(text), begin + span)
-                held = _encoded(t, text[begin:end])
+            begin = max(held.begin, held.end - wide)
+            if begin <= counted_from:  # the overlap has eaten the chunk: encode from its start, twice as far
+                held = Chunk(t, text, held.begin, 2 * held.end - held.begin)
                 break
-            next_end = min(len(text), next_begin + max(chunk, 2 * wide))
-            new = _encoded(t, text[next_begin:next_end])
-            at = splice(text, held, begin, new, next_begin, agree)
+            new = Chunk(t, text, begin, begin + max(chunk, 2 * wide))
+            at = splice(text, held, new, agree)
             if at is not None and at > counted_from:
-                starts = held[1] + begin
-                total += int(np.searchsorted(starts, at) - np.searchsorted(starts, counted_from))
-                begin, end, counted_from, held = next_begin, next_end, at, new
+                total += held.before(at) - held.before(counted_from)
+                counted_from, held = at, new
                 break
             wide *= 2
-    return total + len(held[0]) - int(np.searchsorted(held[1] + begin, counted_from))
+    return total + len(held.ids) - held.before(counted_from)
 
 
 def token_counts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

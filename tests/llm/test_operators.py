@@ -298,6 +298,18 @@ def test_resynchronisation():
                 assert token_counts.count_huge(t, text, chunk, overlap) == len(t.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_long_texts_at_shipped_settings(spark, name):
+    r = random.Random(9)
+    t = token_counts.tokenizer(queries.tokenizer_path(name))
+    mixed = "".join(r.choice(("word ", "né ", "12.5 ", "don't ", "\n\n", "x" * 40, " 😀", "İ", "ﬁ ", "a\u0301 ", "<|endoftext|> ")) for _ in range(90_000))
+    texts = [helpers.prose(1, 9_000), helpers.prose(2, 60_000), mixed, "y" * 70_000 + " " + helpers.prose(3, 9_000), "\n" * 50_000]
+    assert all(len(x) > token_counts.HUGE for x in texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(rows, queries.tokenizer_path(name)).collect()}
+    assert got == {i: len(t.encode(x, add_special_tokens=False).ids) for i, x in enumerate(texts)}
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 BASE = {
