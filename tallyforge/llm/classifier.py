@@ -12,7 +12,9 @@ the corpus is scored, whole.
 
 Defined cases: a null or empty text has no indicator and gets the model's score of nothing; labels that are null are
 not used; a row labelled twice counts once with the larger label; if the labelled rows have one class only, or none,
-every score is that class's share (0.5 for none); repeated rows are scored each; empty tables give empty results.
+every score is that class's share (0.5 for none); repeated rows are scored each; very long texts are read whole, part by
+part, with the features of the whole; empty tables give empty results; further columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -37,35 +39,48 @@ _SHAPE[128:] = ord("a")
 
 
 def indicators(text: str | None, step: int = 1 << 20) -> np.ndarray:
-    """Sorted bucket numbers of the features of a whole text."""
+    """Sorted bucket numbers of the features of a whole text, read `step` bytes at a time: what a part needs of those
+    before it (three bytes, three runs, three words and a word that has not ended) is carried over."""
     data = (text or "").encode("utf-8", "surrogatepass")
     hit = np.zeros(BUCKETS, bool)
-    for i in range(0, len(data), step):  # parts overlap by the longest feature's reach, so none is lost
-        part = data[max(0, i - 64) : i + step]
-        _mark(np.frombuffer(part, np.uint8), hit)
-        words = part.split()
-        same = np.fromiter(map(bytes.__eq__, words, words[1:]), np.uint32, max(len(words) - 1, 0))
-        if len(same) >= 3:
-            hit[((same[:-2] * np.uint32(4) + same[1:-1] * np.uint32(2) + same[2:] + np.uint32(0x5A17)) * _MIX) >> np.uint32(16)] = True
+    runs, words, tail = np.empty(0, np.uint32), [], b""
+    for i in range(0, len(data), step):
+        part = data[i : i + step]
+        _mark_bytes(np.frombuffer(data[max(0, i - 3) : i + step], np.uint8), hit)
+        runs = _mark_runs(runs, np.frombuffer(part, np.uint8), hit)
+        words += (tail + part).split()
+        tail = words.pop() if words and i + step < len(data) and part[-1] not in b" \t\n\x0b\x0c\r" else b""
+        words = _mark_repeats(words, hit)
     return np.flatnonzero(hit)
 
 
-def _mark(b: np.ndarray, hit: np.ndarray) -> None:
+def _mark_bytes(b: np.ndarray, hit: np.ndarray) -> None:
+    """1 to 4 bytes in a row."""
     x = b.astype(np.uint32)
-    shift = np.uint32(16)
     h = x + np.uint32(1)
-    for n in range(1, 5):
+    for n in range(1, min(4, len(x)) + 1):
         if n > 1:
             h = h[:-1] * np.uint32(257) + x[n - 1 :] + np.uint32(1)
-        hit[((h + np.uint32(n * 0x51ED27)) * _MIX) >> shift] = True
-        if len(h) < 2:
-            break
+        hit[((h + np.uint32(n * 0x51ED27)) * _MIX) >> np.uint32(16)] = True
+
+
+def _mark_runs(before: np.ndarray, b: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Four runs of character classes in a row, `before` being the last runs so far; returns the last three."""
     shape = _SHAPE[b]
-    if len(shape) > 1:  # runs of one class become one mark, then four marks make a feature
-        runs = shape[np.concatenate([[True], shape[1:] != shape[:-1]])].astype(np.uint32)
-        if len(runs) >= 4:
-            g = ((runs[:-3] * np.uint32(263) + runs[1:-2]) * np.uint32(263) + runs[2:-1]) * np.uint32(263) + runs[3:]
-            hit[((g ^ np.uint32(0xA5A5A5)) * _MIX) >> shift] = True
+    own = shape[np.concatenate([[True], shape[1:] != shape[:-1]])].astype(np.uint32)
+    runs = np.concatenate([before, own[1:] if len(before) and before[-1] == own[0] else own])
+    if len(runs) >= 4:
+        g = ((runs[:-3] * np.uint32(263) + runs[1:-2]) * np.uint32(263) + runs[2:-1]) * np.uint32(263) + runs[3:]
+        hit[((g ^ np.uint32(0xA5A5A5)) * _MIX) >> np.uint32(16)] = True
+    return runs[-3:]
+
+
+def _mark_repeats(words: list[bytes], hit: np.ndarray) -> list[bytes]:
+    """For four words in a row, which of them equals the one before it; returns the last three words."""
+    same = np.fromiter(map(bytes.__eq__, words, words[1:]), np.uint32, max(len(words) - 1, 0))
+    if len(same) >= 3:
+        hit[((same[:-2] * np.uint32(4) + same[1:-1] * np.uint32(2) + same[2:] + np.uint32(0x5A17)) * _MIX) >> np.uint32(16)] = True
+    return words[-3:]
 
 
 def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, alpha: float = 1.0) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -42,6 +43,66 @@ def test_classifier_scores_every_row(spark, docs):
         assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
+def plain_indicators(text):
+    """Buckets of a text's features, one feature at a time."""
+    data, out = (text or "").encode("utf-8", "surrogatepass"), set()
+    bucket = lambda h: (h % 2**32 * 0x9E3779B1) % 2**32 >> 16
+    for n in range(1, 5):
+        for i in range(len(data) - n + 1):
+            h = 0
+            for x in data[i : i + n]:
+                h = h * 257 + x + 1
+            out.add(bucket(h + n * 0x51ED27))
+    kind = lambda x: 32 if x in b" \t\n\x0b\x0c\r" else 97 if 97 <= x <= 122 or x > 127 else 65 if 65 <= x <= 90 else 48 if 48 <= x <= 57 else x
+    runs = [k for k, _ in itertools.groupby(map(kind, data))]
+    for a, b, c, d in zip(runs, runs[1:], runs[2:], runs[3:]):
+        out.add(bucket((((a * 263 + b) * 263 + c) * 263 + d) ^ 0xA5A5A5))
+    words = data.split()
+    same = [a == b for a, b in zip(words, words[1:])]
+    for a, b, c in zip(same, same[1:], same[2:]):
+        out.add(bucket(a * 4 + b * 2 + c + 0x5A17))
+    return sorted(out)
+
+
+def test_indicators_of_whole_texts_at_any_cut():
+    r = random.Random(2)
+    texts = [helpers.prose(1), "", None, "a", "ab ab ab ab ab", "a " * 60, " x", "é😀 É", "  .. AA 11\n\n" * 5]
+    texts += ["".join(r.choice(("a", "bb ", "B", " ", "7", ".", "\n", "é", "same same ", "x" * 30)) for _ in range(r.randint(1, 120))) for _ in range(60)]
+    for t in texts:
+        want = plain_indicators(t)
+        for step in (1, 2, 3, 5, 8, 64, 1 << 20):
+            assert classifier.indicators(t, step).tolist() == want, (t, step)
+
+
+def test_indicators_of_a_text_of_several_parts():
+    t = "".join(f"{w * 300} {w}. " for w in helpers.prose(4, 900).split()) + "9" * (1 << 20) + " Ab" * 7
+    assert len(t.encode()) > 2 << 20
+    assert classifier.indicators(t).tolist() == classifier.indicators(t, 1 << 30).tolist()
+
+
+def test_scores_against_plain_arithmetic(spark):
+    """Rows, model and scores by plain loops: log-count ratios, unit rows, margins, the curve."""
+    rows = [(i, helpers.prose(i, 60) if i % 2 else helpers.prose(i, 60).replace(" ", " $ 9 "), "en", "s", 1) for i in range(60)] + [(60, None, "en", "s", 1), (61, "", "en", "s", 1)]
+    labels = [(i, i % 2, 0) for i in range(60)]
+    inside = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    feats, y = [plain_indicators(rows[i][1]) for i in inside], np.array([i % 2 for i in inside])
+    counts = np.ones((2, classifier.BUCKETS))
+    for f, label in zip(feats, y):
+        for b in f:
+            counts[label, b] += 1
+    ratio = np.array([[math.log(x) for x in c / c.sum()] for c in counts])
+    ratio = ratio[1] - ratio[0]
+    model = classifier.fit([np.array(f) for f in feats], y)
+    assert np.allclose(model["ratio"], ratio, atol=1e-6)
+    got = {r["doc_id"]: r["score"] for r in classifier.score_quality(spark.createDataFrame(rows, helpers.SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    for i, text, *_ in rows:
+        own = plain_indicators(text)
+        length = math.sqrt(sum(float(model["ratio"][b]) ** 2 for b in own)) or 1.0
+        z = model["a"] * (sum(float(model["w"][b]) * float(model["ratio"][b]) / length for b in own) + model["bias"]) + model["b"]
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    assert all((got[i] >= 0.5) == bool(i % 2) for i in range(60))
+
+
 def test_classifier_separates():
     good = [helpers.prose(i) for i in range(60)]
     bad = [" ".join(w + "%%%" for w in helpers.prose(i).split()) for i in range(100, 130)]
