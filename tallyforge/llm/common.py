@@ -23,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none (tests)."""
+    """The folder that driver and executors share. A local one only on a local master that names none (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = tempfile.mkdtemp(prefix="tallyforge-")
@@ -33,13 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh(spark: SparkSession, label: str) -> str:
+    """A new path under the shared folder."""
+    return f"{shared_dir(spark)}/tallyforge/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a table under the shared folder and reads it back: its lineage ends there, and a lost
     executor costs a re-read, not a recomputation. The tables stay until the folder is cleaned."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tallyforge/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    path = fresh(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def over_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]]) -> DataFrame:

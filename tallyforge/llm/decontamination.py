@@ -12,11 +12,12 @@ its question (its words but the last third) and its answer (the last third) amon
 answer each to COVER or more, so that words between the two don't matter. Items with fewer words than a shingle are
 compared whole.
 
-The items of a class are indexed in chunks of ITEMS, fewer where they are longer, so that an index has a proven size
-(ITEMS times LONGEST words times BLOCKS numbers, or one item), with document frequencies over all items; a text meets every chunk in the same task. No passage, text or pair
-is shuffled: only found (document, item) pairs leave the scan.
+The items of a class are indexed in chunks of ITEMS, fewer where they are longer, with document frequencies over all
+items. Indexes are sent to the executors in groups of at most BROADCAST bytes (or one index, whose size ITEMS bounds);
+the texts are scanned once for each group, so that a benchmark of any size fits. No passage, text or pair is shuffled:
+only found (document, item) pairs leave the scan.
 
-Defined cases: null and empty texts hold nothing; a null, empty or wordless item is never found; items with equal texts
+Defined cases: very long texts and items of any length are searched whole; null and empty texts hold nothing; a null, empty or wordless item is never found; items with equal texts
 are each found; a null document id is carried as null; an empty benchmark finds nothing; repeated rows are each
 reported.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import small
+from tallyforge.llm.common import cut, fresh, small
 
 TERM = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -43,6 +44,8 @@ PASSAGE, STEP, THRESHOLD, COVER, SHINGLE = 96, 48, 0.45, 0.8, 5
 #: Words of the longest item that is sought in passages of PASSAGE words; both double from class to class.
 LONGEST = 64
 ITEMS, BLOCK = 1024, 8
+#: Bytes of the indexes that are sent to the executors at a time.
+BROADCAST = 128 << 20
 
 
 def terms(text: str | None) -> list[str]:
@@ -85,19 +88,21 @@ class Index:
         self.block_max = np.zeros((len(by_term) + 1, self.blocks), np.float32)
         np.maximum.at(self.block_max, (owner, self.docs // BLOCK), (self.weights * (1 + 1e-6)).astype(np.float32))
         self.largest = self.block_max.max(axis=1)
-        #: Where each term's postings of each block begin.
-        held = np.zeros((len(by_term), self.blocks), np.int64)
-        np.add.at(held, (owner, self.docs // BLOCK), 1)
-        self.begin = (self.ends - lengths)[:, None] + np.cumsum(held, axis=1) - held
-        self.held = held.astype(np.int32)
+        #: The term and block of each posting, rising: where the postings of a term in a block lie is looked up here.
+        self.cells = owner * self.blocks + self.docs // BLOCK
+
+    def size(self) -> int:
+        """About how many bytes the index has."""
+        return self.block_max.nbytes + self.cells.nbytes + self.docs.nbytes + self.weights.nbytes + 100 * (len(self.term_ids) + sum(map(len, self.words)))
 
     def search(self, ids: np.ndarray, threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
         """Items of the given blocks with a score of at least threshold for a set of terms: block-max WAND."""
         out = []
         for b in blocks:
-            own = ids[self.held[ids, b] > 0]
-            begin = self.begin[own, b]
-            last = (begin + self.held[own, b]).tolist()
+            cell = ids * self.blocks + b
+            begin, end = np.searchsorted(self.cells, cell), np.searchsorted(self.cells, cell, side="right")
+            held = end > begin
+            own, begin, last = ids[held], begin[held], end[held].tolist()
             # a cursor: item under it, its place, the place where the block ends, the term's maximum in the block
             cursors = [list(c) for c in zip(self.docs[begin].tolist(), begin.tolist(), last, self.block_max[own, b].tolist())]
             while cursors:
@@ -240,7 +245,8 @@ def coverage(item: list[str], around: list[str]) -> tuple[float, float, float]:
 def build(benchmark: DataFrame, key: str = "item_id", text: str = "text", threshold: float = THRESHOLD, cover: float = COVER) -> Iterator[Index]:
     """Indexes of the items, by class of length and ITEMS at a time; frequencies are those of all items.
 
-    The driver holds one chunk of items and the frequencies of that chunk's terms."""
+    Items are split into terms once, and get their terms' frequencies once, by a join; they are written by chunk, and
+    each chunk is read once. The driver holds one chunk."""
     spark = benchmark.sparkSession
     base = benchmark.select(F.col(key).cast("long").alias("item"), F.col(text).alias("text")).where("item is not null and text is not null")
 
@@ -250,23 +256,66 @@ def build(benchmark: DataFrame, key: str = "item_id", text: str = "text", thresh
             yield pa.RecordBatch.from_arrays([b.column("item"), pa.array(w, pa.list_(pa.string()))], names=["item", "words"])
 
     items = base.mapInArrow(split, "item long, words array<string>").where(F.size("words") > 0)
+    items = cut(items.withColumn("row", F.monotonically_increasing_id()), "items")
     stats = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     if not stats["n"]:
         return
-    df = items.select(F.explode(F.array_distinct("words")).alias("t")).groupBy("t").agg(F.count("*").alias("df"))
     chunks = -(-stats["n"] // ITEMS)
-    placed = items.withColumn("chunk", F.pmod(F.xxhash64("item"), F.lit(chunks)) if chunks > 1 else F.lit(0))
+    each = items.select("row", F.explode(F.array_distinct("words")).alias("t"))
+    df = each.groupBy("t").agg(F.count("*").alias("df"))
+    counted = each.join(df, "t").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("t", "df"))).alias("df"))
+    placed = items.join(counted, "row").withColumn("chunk", F.pmod(F.xxhash64("item", "row"), F.lit(chunks)).cast("int"))
+    path = fresh(spark, "items-by-chunk")
+    placed.select("chunk", "item", "words", "df").repartition("chunk").write.partitionBy("chunk").parquet(path)
+    stored = spark.read.schema("item long, words array<string>, df map<string, bigint>, chunk int").parquet(path)
     for c in range(chunks):
-        own = placed.where(F.col("chunk") == c).select("item", "words")
-        wanted = own.select(F.explode("words").alias("t")).distinct()
-        counts = {r["t"]: r["df"] for r in df.join(wanted, "t", "left_semi").toLocalIterator()}
-        rows = sorted((r["item"], list(r["words"])) for r in own.toLocalIterator())
+        rows, counts = [], {}
+        for r in stored.where(F.col("chunk") == c).toLocalIterator():
+            rows.append((r["item"], list(r["words"])))
+            counts.update(r["df"])
+        rows.sort()
         for size in sorted({passage_words(len(w)) for _, w in rows}):
             same, most = [x for x in rows if passage_words(len(x[1])) == size], max(ITEMS * PASSAGE // size, 1)
             for i in range(0, len(same), most):
                 yield Index(same[i : i + most], counts, stats["n"], stats["mean"], size, threshold, cover)
 
 
+def rounds(indexes: Iterator[Index], most: int = BROADCAST) -> Iterator[list[Index]]:
+    """Indexes in groups of at most `most` bytes (or one index): each group is one pass over the texts."""
+    group: list[Index] = []
+    for i in indexes:
+        if group and sum(x.size() for x in group) + i.size() > most:
+            yield group
+            group = []
+        group.append(i)
+    if group:
+        yield group
+
+
+def passes(df: DataFrame, groups: Iterator[list[Index]], scan: Callable[[DataFrame, list], DataFrame], add: bool) -> DataFrame:
+    """scan(df, broadcast indexes) for one group; for several, each pass is written before the next index is sent: the
+    results of all are united (add), or each pass reads what the one before it left."""
+    sc, spark, found = df.sparkSession.sparkContext, df.sparkSession, []
+    group = next(groups, [])
+    while True:
+        following = next(groups, None)
+        shared = [sc.broadcast(i) for i in group]
+        out = scan(df, shared)
+        if following is None:
+            break
+        out = cut(out, "decontamination")
+        for i in shared:
+            i.destroy()
+        if add:
+            found.append(out)
+        else:
+            df = out
+        group = following
+    for x in found:
+        out = out.unionByName(x)
+    return out
+
+
 _FOUND = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -292,32 +341,35 @@ def find_in(index: Index, texts: list[list[str]], threshold: float = THRESHOLD,
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, cover: float = COVER) -> DataFrame:
     """One row per document row and test item found in it."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(i) for i in build(benchmark, item_key, item_text, threshold, cover)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in small(b, 256):
-                split = [terms(t) for t in part.column("text").to_pylist()]
-                keys = part.column("doc_id").to_pylist()
-                found = [(k, *x) for index in shared for k, own in zip(keys, find_in(index.value, split, threshold, cover)) for x in own]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))], names=_FOUND.fieldNames())
+    def scan(narrow: DataFrame, shared: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in small(b, 256):
+                    split = [terms(t) for t in part.column("text").to_pylist()]
+                    keys = part.column("doc_id").to_pylist()
+                    found = [(k, *x) for index in shared for k, own in zip(keys, find_in(index.value, split, threshold, cover)) for x in own]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()))], names=_FOUND.fieldNames())
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _FOUND)
+        return narrow.mapInArrow(run, _FOUND)
 
+    narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return passes(narrow, rounds(build(benchmark, item_key, item_text, threshold, cover)), scan, add=True)
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold a test item; every column as it was. Rows are judged where they are: no join."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(i) for i in build(benchmark)]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in small(b, 256):
-                split = [terms(t) for t in part.column("__text").to_pylist()]
-                found = [find_in(i.value, split) for i in shared]
-                clean = [not any(f[n] for f in found) for n in range(len(split))]
-                yield part.select(["__row"]).filter(pa.array(clean, pa.bool_()))
+    def scan(rows: DataFrame, shared: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for part in small(b, 256):
+                    split = [terms(t) for t in part.column("__text").to_pylist()]
+                    found = [find_in(i.value, split) for i in shared]
+                    clean = [not any(f[n] for f in found) for n in range(len(split))]
+                    yield part.filter(pa.array(clean, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.select("__row").schema).select("__row.*")
+        return rows.mapInArrow(run, rows.schema)
+
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
+    return passes(rows, rounds(build(benchmark, item_key, item_text)), scan, add=False).select("__row.*")

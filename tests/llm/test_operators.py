@@ -581,6 +581,24 @@ def test_items_in_chunks(spark, docs, monkeypatch):
     whole = {tuple(r) for r in decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect()}
     monkeypatch.setattr(decontamination, "ITEMS", 5)
     assert {tuple(r) for r in decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect()} == whole
+    rounds = decontamination.rounds
+    monkeypatch.setattr(decontamination, "rounds", lambda indexes: rounds(indexes, 1))  # a pass over the texts for each index
+    assert {tuple(r) for r in decontamination.contaminated(docs, bench).select("doc_id", "item_id").collect()} == whole
+    hit = {k for k, _ in whole}
+    kept = collections.Counter(r["doc_id"] for r in decontamination.drop_contaminated(docs, bench).collect())
+    assert kept == collections.Counter(r[0] for r in helpers.rows() if r[0] not in hit)
+
+
+def test_copies_of_items_of_every_length(spark):
+    """Word for word copies of items of 1 to 2,000 words, each inside another text: every one is found."""
+    r = random.Random(31)
+    syllables = [a + b for a in helpers.PROSE for b in helpers.PROSE]
+    long = lambda k: " ".join(r.choice(syllables) + r.choice(helpers.PROSE) for _ in range(k))
+    lengths = [n for n in (1, 2, 3, 4, 5, 6, 8, 12, 20, 47, 48, 49, 64, 65, 96, 128, 129, 200, 220, 250, 300, 400, 600, 1000, 2000) for _ in range(4)]
+    items = [(i, f"item{i} {long(n - 1)}".strip()) for i, n in enumerate(lengths)]
+    docs = [(i, f"{long(r.randrange(150))} {t} {long(r.randrange(150))}", "en", "s", 1) for i, t in items] + [(5000, long(4000), "en", "s", 1)]
+    found = decontamination.contaminated(spark.createDataFrame(docs, helpers.SCHEMA), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in found} == {(i, i) for i, _ in items}
 
 
 # 9 -----------------------------------------------------------------------------------------------------------------
