@@ -1,9 +1,10 @@
 """SimHash near-duplicates: exact links at 3 or fewer differing bits, found through pivot distance tables.
 
 1. Each text gets its 64-bit fingerprint (majority of the XXH64 bits of its three-word shingles).
-2. Only distinct fingerprints go on, so copies cost nothing further. A fingerprint's 64 bits are cut in five blocks;
-   two fingerprints with at most 3 differing bits agree in at least two of them, so one table for each pair of blocks
-   (ten tables, keys of 25 or 26 bits) brings every linked pair together in some bucket.
+2. Only distinct fingerprints go on, so copies cost nothing further. A fingerprint's 64 bits are cut in blocks; two
+   fingerprints with at most 3 differing bits agree in all blocks but three at least, so one table for each choice of
+   those brings every linked pair together in some bucket: with five blocks ten tables, keys of 25 or 26 bits. The
+   number of blocks grows with the number of fingerprints, so that a bucket of unrelated ones stays small.
 3. In a bucket, each fingerprint has a row of Hamming distances to many reference fingerprints (pivots). By the
    triangle inequality two fingerprints whose rows differ by more than 3 in any column are not linked: such pairs are
    discarded by the largest coordinate difference, the survivors are verified on the bits themselves.
@@ -25,7 +26,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,9 +35,10 @@ from tallyforge.llm.components import components
 from tallyforge.llm.mixing import doc_key
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
-#: First bit and width of the five blocks.
-BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-TABLES = tuple(combinations(range(5), 2))
+#: Numbers of blocks, and the most distinct fingerprints for each: keys have about 26, 32 and 37 bits.
+BLOCKS = ((5, 1 << 31), (6, 1 << 37), (7, 1 << 63))
+#: A fingerprint that more than this share of all rows carry is looked up without a shuffle; there are at most 1 / HOT.
+HOT = 1 / 4096
 #: Largest bucket that one task searches whole.
 MOST = 2048
 PIVOTS = 16
@@ -163,15 +165,26 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges_of(ids, fps)
 
 
-def links(distinct: DataFrame, most: int = MOST) -> DataFrame:
-    """Edges (u, v) whose components are those of all pairs of distinct fingerprints at RADIUS or fewer bits."""
+def tables(blocks: int) -> list[Column]:
+    """A key for each choice of all blocks but RADIUS, of the column fp; the keys of different choices differ."""
+    ends = [64 * i // blocks for i in range(blocks + 1)]
+    out = []
+    for n, chosen in enumerate(combinations(range(blocks), blocks - RADIUS)):
+        key = F.lit(0).cast("long")
+        for i in chosen:
+            width = ends[i + 1] - ends[i]
+            key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned("fp", ends[i]).bitwiseAND(F.lit((1 << width) - 1)))
+        out.append(key + F.lit(n << 48))
+    return out
+
 
-    def block(i):
-        at, width = BLOCKS[i]
-        return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
+def blocks_for(fingerprints: int) -> int:
+    return next(b for b, most in BLOCKS if fingerprints <= most)
 
-    keys = [F.shiftleft(block(i), 13).bitwiseOR(block(j)) + F.lit(n << 26) for n, (i, j) in enumerate(TABLES)]
-    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("bucket"))
+
+def links(distinct: DataFrame, most: int = MOST, blocks: int = 5) -> DataFrame:
+    """Edges (u, v) whose components are those of all pairs of distinct fingerprints at RADIUS or fewer bits."""
+    keyed = distinct.select("fp", F.explode(F.array(*tables(blocks))).alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = keyed.join(sizes, "bucket")
     chunks = F.ceil(F.col("n") / F.lit(most / 2)).cast("int")
@@ -191,12 +204,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def _near_duplicates(docs: DataFrame, key: str, text: str, also: list) -> DataFrame:
     marked = cut(fingerprints(docs, key, text, also), "simhash")
-    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    edges = cut(links(least.select("fp")), "simhash-links")
+    least = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("carriers")), "simhash-distinct")
+    size = least.agg(F.count("*").alias("distinct"), F.sum("carriers").alias("rows")).first()
+    edges = cut(links(least.select("fp"), blocks=blocks_for(size["distinct"])), "simhash-links")
     roots = cut(components(edges), "simhash-roots")
-    rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", "carriers", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    out = marked.join(rooted.join(component, "root").select("fp", "root", "component_id"), "fp")
+    known = cut(rooted.join(component, "root").select("fp", "carriers", "root", "component_id"), "simhash-components")
+    hot = F.col("carriers") > F.lit(max((size["rows"] or 0) * HOT, 1000.0))
+    few = F.broadcast(known.where(hot).select("fp", "root", "component_id"))  # 1 / HOT rows at most
+    looked = marked.join(few, "fp", "left").withColumn("is_hot", F.col("root").isNotNull())
+    rest = looked.where(~F.col("is_hot")).drop("root", "component_id").join(known.where(~hot).select("fp", "root", "component_id"), "fp")
+    out = looked.where("is_hot").unionByName(rest)
     return out.select(*[c for c in marked.columns if c != "fp"], "root", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

@@ -227,6 +227,44 @@ def test_links_of_a_dense_cluster(spark):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+@pytest.mark.parametrize("blocks", [4, 5, 6, 7])
+def test_any_number_of_blocks_loses_no_link(spark, blocks):
+    r = random.Random(blocks)
+    values = [r.getrandbits(64) for _ in range(60)] + [0, 1, (1 << 64) - 1]
+    for base in values[:40]:
+        for bits in (1, 2, 3, 3, 3, 4):
+            values.append(base ^ sum(1 << i for i in r.sample(range(64), bits)))
+    values = sorted(set(values))
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    edges = [(x["u"] % (1 << 64), x["v"] % (1 << 64)) for x in simhash.links(frame, blocks=blocks).collect()]
+    parent = {v: v for v in values}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        parent[find(u)] = find(v)
+    want = plain_components(values)
+    got = [find(v) for v in values]
+    assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_keys_of_buckets_differ_by_table(spark):
+    for blocks in (5, 6, 7):
+        row = spark.createDataFrame([(0,)], "fp long").select(*simhash.tables(blocks)).first()
+        assert len(set(row)) == len(row) == math.comb(blocks, 3) and max(row) < 1 << 62
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 0.0)
+    rows = [(i, "one text in very many copies" if i % 3 else helpers.prose(i), "en", "s", 1) for i in range(2400)]
+    frame = spark.createDataFrame(rows, helpers.SCHEMA).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(frame).collect()}
+    assert len(got) == 2400 and all(got[i] == (1 if i % 3 else i) for i in got)
+
+
 def test_pivots_never_discard_a_link():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
