@@ -6,7 +6,8 @@ are partial sums before any shuffle, the table of sources is broadcast only afte
 size the join is salted, so that a source with a third of all rows is spread over many tasks.
 
 Defined cases: a null text has size 0; a null source is a source of its own and comes last; a source without words
-has target and rate 0 and is not emitted; rows that repeat are mixed independently only if they differ in key or text; an empty table gives an
+has target and rate 0 and is not emitted; very long texts count whole; further columns, whatever their names, are kept
+by `mix` and not read; rows that repeat are mixed independently only if they differ in key or text; an empty table gives an
 empty result.
 """
 

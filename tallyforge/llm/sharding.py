@@ -5,7 +5,9 @@ order, the per-partition totals (one row a partition) give each partition its of
 from the middle of its byte range. Texts are never shuffled, a hot source or text plays no part in the keys, and
 repeated rows are spread by a salt, since rows that are alike in every sorted column may stand in any order.
 
-Defined cases: a null text has no bytes, a null key sorts first, an empty table gives an empty result.
+Defined cases: a null or empty text has no bytes; a very long text is one row of its size; a null key sorts first; ties and
+repeated rows get slots of their own; an empty table gives an empty result; further columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations

@@ -131,7 +131,8 @@ def plain_tokens(rows):
 def folder(spark, tmp_path):
     item = helpers.prose(500, 40)
     more = [(900, helpers.prose(70) + "\n" + item + "\n" + helpers.prose(71), "en", "s0", 1), (901, helpers.prose(3) + " " + helpers.prose(80), "en", "s1", 1)]
-    rows = [r for r in helpers.rows() if r[0] is not None] + more
+    more += [(902, helpers.prose(90), None, None, None), (None, helpers.prose(91) + " " + item, "en", "s2", 1), (None, helpers.prose(92), "en", None, 1)] * 2
+    rows = helpers.rows() + more
     spark.createDataFrame(rows, helpers.SCHEMA).repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return str(tmp_path), rows, [item]
@@ -152,6 +153,25 @@ def test_each_stage(spark, folder):
     assert out.agg(F.max(F.col("start") + F.col("n_tokens"))).first()[0] == sum(k[1] * n for k, n in want.items())
 
 
+def test_further_columns_with_clashing_names(spark, folder, tmp_path_factory):
+    path, rows, _ = folder
+    names = [c for c in helpers.clashing(spark).columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    other = str(tmp_path_factory.mktemp("clashing"))
+    more = spark.read.parquet(f"{path}/documents.parquet").select("*", *[F.lit(i).alias(n) for i, n in enumerate(names)])
+    more.write.parquet(f"{other}/documents.parquet")
+    bench = spark.read.parquet(f"{path}/benchmark.parquet").select("*", F.lit(1).alias("item"), F.lit("x").alias("words"), F.lit(2).alias("doc_id"))
+    bench.write.parquet(f"{other}/benchmark.parquet")
+    docs, plain = more, spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs, plain = stage(spark, docs, other), stage(spark, plain, path)
+        assert docs.columns == more.columns
+        same = [collections.Counter(tuple(r) for r in d.select("doc_id", "text", "lang", "source", "n_chars").collect()) for d in (docs, plain)]
+        assert same[0] == same[1] and sum(same[0].values()) > 20
+        assert docs.select(*[f"`{n}`" for n in names]).distinct().collect() == [tuple(range(len(names)))]
+    counted = [collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, d).collect()) for d in (path, other)]
+    assert counted[0] == counted[1]
+
+
 def test_empty_documents(spark, tmp_path):
     helpers.empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
