@@ -154,7 +154,7 @@ TEMPLATES = {
 
 
 def normalised(text: str | None) -> list[str]:
-    return [_plain(w) for w in WORD.findall((text or "").lower())]
+    return [_plain(w) if w[-1] <= "9" or w in _SPELLING else w for w in WORD.findall((text or "").lower())]
 
 
 def _plain(word: str) -> str:
