@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,11 +50,29 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back what memory it no longer needs when it ends: Python workers are kept for later tasks, and
+    would otherwise hold the most that any task ever took."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library is GNU's
+            if trim:
+                trim(0)
+
+    return f
+
+
 def over_batches(df: DataFrame, schema: T.StructType | str, make: Callable[[], Callable[[pa.RecordBatch], dict[str, pa.Array]]]) -> DataFrame:
     """mapInArrow with per-task state: make() runs once in a task and returns what turns a batch into columns."""
     spark_schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     names = spark_schema.fieldNames()
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for b in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import cut, fresh, small
+from tallyforge.llm.common import cut, fresh, small, trimmed
 
 TERM = re.compile(r"[^\W_]+")
 K1, B = 1.2, 0.75
@@ -343,6 +343,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """One row per document row and test item found in it."""
 
     def scan(narrow: DataFrame, shared: list) -> DataFrame:
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for part in small(b, 256):
@@ -361,6 +362,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
     """docs without the rows that hold a test item; every column as it was. Rows are judged where they are: no join."""
 
     def scan(rows: DataFrame, shared: list) -> DataFrame:
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for part in small(b, 256):

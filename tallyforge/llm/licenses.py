@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import small
+from tallyforge.llm.common import small, trimmed
 
 WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 _VERSION = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)\Z")
@@ -281,6 +281,7 @@ def licences_in(scanner: Scanner, text: str | None) -> list[tuple]:
 def scan_licences(docs: DataFrame, templates: dict[str, list[str]] | None = None, threshold: float = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document row and licence found in it."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
         for b in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyforge.llm.common import cut, over_batches
+from tallyforge.llm.common import cut, over_batches, trimmed
 from tallyforge.llm.components import components
 from tallyforge.llm.mixing import doc_key
 
@@ -131,6 +131,7 @@ def forest(fps: np.ndarray, pivots: np.ndarray, radius: int = RADIUS) -> list[tu
 _PAIR = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType())])
 
 
+@trimmed
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spanning edges of each bucket; rows (bucket, fp) come sorted by bucket. Holds one bucket at a time."""
     pivots = pivot_fingerprints()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyforge.llm import pfor
-from tallyforge.llm.common import shared_dir, small
+from tallyforge.llm.common import shared_dir, small, trimmed
 from tallyforge.llm.token_counts import tokenizer
 
 END = 0
@@ -218,6 +218,7 @@ def write_pages(docs: DataFrame, path: str, out: str, key: str = "doc_id", text:
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         part, number, first = None, 0, 0
@@ -266,6 +267,7 @@ def read_pages(spark: SparkSession, out: str) -> DataFrame:
     sums = np.cumsum([0] + [r["n"] for r in totals]).tolist()
     offsets = spark.createDataFrame([(r["part"], s) for r, s in zip(totals, sums)], "part int, before long")
 
+    @trimmed
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
