@@ -361,7 +361,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows that hold a test item; every column as it was. Rows are judged where they are: no join."""
 
-    def scan(rows: DataFrame, shared: list) -> DataFrame:
+    def scan(kept: DataFrame, shared: list) -> DataFrame:
         @trimmed
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -369,9 +369,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text",
                     split = [terms(t) for t in part.column("__text").to_pylist()]
                     found = [find_in(i.value, split) for i in shared]
                     clean = [not any(f[n] for f in found) for n in range(len(split))]
-                    yield part.filter(pa.array(clean, pa.bool_()))
+                    yield part.select(["__row"]).filter(pa.array(clean, pa.bool_()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return kept.select("__row", F.col("__row").getField(text).alias("__text")).mapInArrow(run, kept.schema)
 
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("__text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
     return passes(rows, rounds(build(benchmark, item_key, item_text)), scan, add=False).select("__row.*")

@@ -39,7 +39,7 @@ PAGE = 1 << 16
 #: Words of letters kept: some 100 MB of a worker at most; a tenth of that for other pieces.
 CACHE = 600_000
 #: Bytes of text encoded at a time (more only for a single text).
-SLICE = 8 << 20
+SLICE = 4 << 20
 
 PAGES = T.StructType(
     [
