@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import special as S
@@ -11,7 +10,7 @@ from tallyforge.operators import decompose as D
 from tallyforge.operators import factor as X
 from tallyforge.operators import text as T
 from tallyforge.plans.catalog import query
-from tallyforge.plans.fixtures import RATINGS, TOKENS, counts, dense, ratings, table, tokens
+from tallyforge.plans.fixtures import RATINGS, TOKENS, counts, dense, ratings, table, token_lists, tokens
 
 TRI = f"{TOKENS}, tri AS (SELECT doc_id AS doc, tok AS term, CAST(count(*) AS DOUBLE) AS s FROM tok GROUP BY ALL), mdl AS (SELECT term, 0.1::DOUBLE * (1 + len(term) % 3) AS m1, 0.1::DOUBLE * (1 + len(term) % 4) AS m2 FROM (SELECT DISTINCT term FROM tri))"
 
@@ -277,14 +276,13 @@ def attention(spark, d):
 def seq2seq_oov(spark, d):
     t = tokens(spark, d)
     known = T.ranked(T.dictionary(t)).where("rank < 1000")
-    return T.map_ids(t, known, 1000).select("doc_id", "pos", "id")
+    return T.map_ids(t, F.broadcast(known), 1000).select("doc_id", "pos", "id")
 
 
 @query("next_word_pairs", f"WITH {TOKENS}, p AS (SELECT tok AS word, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tok), c AS (SELECT word, nxt, count(*) AS n FROM p WHERE nxt IS NOT NULL GROUP BY ALL) SELECT word, nxt, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, nxt) AS k FROM c) WHERE k = 1")
 def next_word_pairs(spark, d):
     """The commonest next word of each word."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    p = tokens(spark, d).select(F.col("tok").alias("word"), F.lead("tok").over(w).alias("nxt")).where("nxt is not null").groupBy("word", "nxt").agg(F.count("*").alias("n"))
+    p = T.ngram_counts(token_lists(spark, d), 2).select(F.col("w1").alias("word"), F.col("w2").alias("nxt"), F.col("cnt").alias("n"))
     return p.groupBy("word").agg(F.min_by(F.struct("nxt", "n"), F.struct(-F.col("n"), F.col("nxt"))).alias("b")).select("word", "b.nxt", "b.n")
 
 

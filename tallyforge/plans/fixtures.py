@@ -17,6 +17,13 @@ def tokens(spark: SparkSession, d: str, name: str = "documents", keys: tuple[str
     return tokenize(table(spark, d, name), "text", keys)
 
 
+def token_lists(spark: SparkSession, d: str, name: str = "documents", keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, toks): the same tokens, a text's in one array."""
+    from tallyforge.operators import text
+
+    return text.token_lists(table(spark, d, name), "text", keys)
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     """(id, f1, f2, f3, y): an order's mean quantity / 50, discount and tax; y is 1 if any line came back.
 
@@ -43,6 +50,13 @@ TOKENS = """tok AS (
   FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS l FROM documents))"""
 
 
+SENTENCES = """sen AS (
+  SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS sent, unnest(l) AS s
+  FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^.!?]+') AS l FROM documents)), stk AS (
+  SELECT doc_id, sent, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS tok
+  FROM (SELECT doc_id, sent, regexp_extract_all(s, '[a-z]+') AS l FROM sen))"""
+
+
 def dense(spark: SparkSession, d: str, first: int = 1, n: int = 8, name: str = "x") -> DataFrame:
     """(vec_id, label, x): n embedding coordinates as doubles."""
     return table(spark, d, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", first, n), lambda v: v.cast("double")).alias(name))

@@ -224,8 +224,10 @@ def sort_perm(spark, d):
 
 @query("sort_lex", "SELECT DISTINCT p_brand, p_type, p_size, dense_rank() OVER (ORDER BY p_brand, p_type, p_size) AS place FROM part")
 def sort_lex(spark, d):
+    from tallyforge.operators.ordering import row_numbers
+
     rows = table(spark, d, "part").select("p_brand", "p_type", "p_size").distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy("p_brand", "p_type", "p_size")).cast("long"))
+    return row_numbers(rows, ("p_brand", "p_type", "p_size"), "place").withColumn("place", F.col("place") + 1)
 
 
 @query("argmax", f"WITH {LONG} SELECT vec_id, max(x) AS top, min(i) FILTER (WHERE x = m) AS top_at, min(x) AS low, min(i) FILTER (WHERE x = n) AS low_at FROM (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m, min(x) OVER (PARTITION BY vec_id) AS n FROM lng) GROUP BY vec_id")

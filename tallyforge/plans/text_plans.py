@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import text as X
 from tallyforge.operators.ordering import rank_by_count
 from tallyforge.plans.catalog import query
-from tallyforge.plans.fixtures import TOKENS, table, tokens
+from tallyforge.plans.fixtures import SENTENCES, TOKENS, table, token_lists, tokens
 
 DICT = f"{TOKENS}, dic AS (SELECT tok, count(*) AS cnt FROM tok GROUP BY tok), rnk AS (SELECT tok, cnt, row_number() OVER (ORDER BY cnt DESC, tok) - 1 AS rank FROM dic)"
 
@@ -82,12 +82,13 @@ def oov_semi(spark, d):
 @query(
     "known_bigrams_semi",
     f"""WITH {DICT}, g AS (SELECT lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS w1, tok AS w2 FROM tok)
-SELECT w1, w2, count(*) AS cnt FROM g WHERE w1 IN (SELECT tok FROM rnk WHERE rank < 50) AND w2 IN (SELECT tok FROM rnk WHERE rank < 50) GROUP BY ALL""",
+SELECT w1, w2, count(*) AS cnt FROM g WHERE w1 IN (SELECT tok FROM dic WHERE cnt >= 10) AND w2 IN (SELECT tok FROM dic WHERE cnt >= 10) GROUP BY ALL""",
 )
 def known_bigrams(spark, d):
-    top = X.ranked(X.dictionary(tokens(spark, d))).where("rank < 50").select("tok")
-    g = X.ngram_counts(tokens(spark, d), 2, ("doc_id",))
-    return g.join(top.withColumnRenamed("tok", "w1"), "w1", "left_semi").join(top.withColumnRenamed("tok", "w2"), "w2", "left_semi").select("w1", "w2", "cnt")
+    """Bigrams of words that the dictionary knows: both are looked up once a bigram, not once an occurrence."""
+    known = X.trim(X.dictionary(tokens(spark, d)), 10).select("tok")
+    g = X.ngram_counts(token_lists(spark, d), 2)
+    return g.join(known.withColumnRenamed("tok", "w1"), "w1", "left_semi").join(known.withColumnRenamed("tok", "w2"), "w2", "left_semi").select("w1", "w2", "cnt")
 
 
 @query(
@@ -98,10 +99,11 @@ r AS (SELECT w1, w2, row_number() OVER (ORDER BY c DESC, w1, w2) - 1 AS gram FRO
 SELECT doc_id, gram, count(*) AS cnt FROM g JOIN r USING (w1, w2) GROUP BY ALL""",
 )
 def ngram_map(spark, d):
-    t = tokens(spark, d)
-    known = X.ngram_counts(t, 2, ("doc_id",)).where("cnt >= 5")
+    t = token_lists(spark, d)
+    known = X.ngram_counts(t, 2).where("cnt >= 5")
     ids = rank_by_count(known, "cnt", ("w1", "w2"), "gram").select("w1", "w2", "gram")
-    return X.ngrams(t, 2, ("doc_id",)).join(ids, ["w1", "w2"]).groupBy("doc_id", "gram").agg(F.count("*").alias("cnt"))
+    own = X.ngrams(t, 2, ("doc_id",)).groupBy("doc_id", "w1", "w2").agg(F.count("*").alias("cnt"))
+    return own.join(ids, ["w1", "w2"]).select("doc_id", "gram", "cnt")
 
 
 for _n in (1, 2, 3):
@@ -110,13 +112,14 @@ for _n in (1, 2, 3):
 
     @query(f"ngram_counts_{_n}", f"WITH {TOKENS}, g AS (SELECT {_lags} FROM tok) SELECT {_names}, count(*) AS cnt FROM g WHERE w1 IS NOT NULL GROUP BY ALL")
     def _ngrams(spark, d, n=_n):
-        return X.ngram_counts(tokens(spark, d), n, ("doc_id",))
+        return X.ngram_counts(token_lists(spark, d), n)
 
 
-@query("doc_term", f"WITH {DICT} SELECT doc_id, rank AS id, count(*) AS cnt FROM tok JOIN rnk USING (tok) WHERE rank < 2000 GROUP BY ALL")
+@query("doc_term", f"WITH {DICT} SELECT doc_id, rank AS id, count(*) AS cnt FROM tok JOIN rnk USING (tok) WHERE rnk.cnt >= 10 GROUP BY ALL")
 def doc_term(spark, d):
+    """Features by the dictionary of words seen ten times or more."""
     t = tokens(spark, d)
-    return X.doc_term(t, X.ranked(X.dictionary(t)).where("rank < 2000"), ("doc_id",))
+    return X.doc_term(t, X.ranked(X.trim(X.dictionary(t), 10)), ("doc_id",))
 
 
 @query(
@@ -124,20 +127,30 @@ def doc_term(spark, d):
     f"WITH {TOKENS} SELECT a.tok AS centre, b.tok AS context, count(*) AS cnt FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos - a.pos BETWEEN -2 AND 2 AND b.pos <> a.pos GROUP BY ALL HAVING count(*) >= 3",
 )
 def window_pairs(spark, d):
-    return X.window_pairs(tokens(spark, d), 2, ("doc_id",)).groupBy("centre", "context").agg(F.count("*").alias("cnt")).where("cnt >= 3")
+    return X.window_pair_counts(token_lists(spark, d), 2).where("cnt >= 3")
+
+
+@query(
+    "window_pairs_narrowed",
+    f"""WITH {SENTENCES} SELECT a.tok AS centre, b.tok AS context, count(*) AS cnt FROM stk a JOIN stk b ON a.doc_id = b.doc_id AND a.sent = b.sent AND b.pos <> a.pos
+AND abs(b.pos - a.pos) <= 1 + ((a.doc_id + a.sent * 7 + a.pos) * 1103515245 + 12345) % 2147483648 // 65536 % 3 GROUP BY ALL HAVING count(*) >= 3""",
+)
+def window_pairs_narrowed(spark, d):
+    """Pairs within a sentence; each centre draws its own reach from 1 to 3, by a fixed pseudo-random number."""
+    seed = (F.col("doc_id") + F.col("sent") * 7 + F.col("pos")) * F.lit(1103515245) + F.lit(12345)
+    reach = F.lit(1) + F.floor(F.pmod(seed, F.lit(2147483648)) / 65536) % 3
+    return X.window_pairs(X.sentences(table(spark, d, "documents"), "text", ("doc_id",)), 3, reach).groupBy("centre", "context").agg(F.count("*").alias("cnt")).where("cnt >= 3")
 
 
-@query("cumsum_by_key", f"WITH {TOKENS} SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS from_start, count(*) OVER (PARTITION BY doc_id) - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS to_end FROM tok")
+@query("cumsum_by_key", f"WITH {SENTENCES} SELECT doc_id, sent, pos, row_number() OVER w - 1 AS from_start, count(*) OVER (PARTITION BY doc_id, sent) - row_number() OVER w AS to_end FROM stk WINDOW w AS (PARTITION BY doc_id, sent ORDER BY pos)")
 def cumsum_by_key(spark, d):
-    return X.from_sentence_ends(tokens(spark, d), ("doc_id",)).select("doc_id", "pos", F.col("from_start").cast("long"), F.col("to_end").cast("long"))
+    """Each token's distance to the start and to the end of its sentence."""
+    return X.from_ends(X.sentences(table(spark, d, "documents"), "text", ("doc_id",)), ("doc_id", "sent")).drop("tok")
 
 
 @query("neighbours", f"WITH {TOKENS} SELECT doc_id, pos, tok, lag(tok, 1) OVER w AS prev1, lag(tok, 2) OVER w AS prev2 FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos)")
 def neighbours(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    return tokens(spark, d).select("doc_id", "pos", "tok", F.lag("tok", 1).over(w).alias("prev1"), F.lag("tok", 2).over(w).alias("prev2"))
+    return X.neighbours(token_lists(spark, d), ("doc_id",))
 
 
 @query("distinct_rows", f"WITH {TOKENS} SELECT DISTINCT doc_id, tok FROM tok")

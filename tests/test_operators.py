@@ -77,9 +77,9 @@ def test_row_numbers_and_running_sums(spark):
     rows = [(r.choice([None, 1, 2, 5, 5, 9, 100]), i, r.randint(0, 9)) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, i long, v long").repartition(4)
     ordered = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-    got = {x["i"]: x["place"] for x in ordering.row_numbers(df, ("k", "i"), "place", 8).collect()}
+    got = {x["i"]: x["place"] for x in ordering.row_numbers(df, ("k", "i"), "place").collect()}
     assert got == {x[1]: n for n, x in enumerate(ordered)}
-    sums = {x["i"]: x["s"] for x in ordering.running_sums(df, ("k", "i"), F.col("v"), "s", 8).collect()}
+    sums = {x["i"]: x["s"] for x in ordering.running_sums(df, ("k", "i"), F.col("v"), "s").collect()}
     assert sums == {x[1]: int(s) for x, s in zip(ordered, np.cumsum([x[2] for x in ordered]))}
     assert ordering.row_numbers(df.limit(0), ("k", "i"), "place").count() == 0
 
