@@ -48,3 +48,24 @@ def outer(a: Column, b: Column) -> Column:
 def matvec(rows: list[list[float]], x: Column) -> Column:
     """A small fixed matrix times an array."""
     return F.array(*[total(F.zip_with(F.array(*[F.lit(float(v)) for v in r]), x, lambda p, q: p * q)) for r in rows])
+
+
+def let(value: Column, f) -> Column:
+    """f applied to value, which is evaluated once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def packed(fields: list[Column], widths: list[int]) -> Column:
+    """Whole numbers side by side in one 64-bit number, the last field lowest: packed numbers sort like the fields."""
+    out = F.lit(0).cast("long")
+    for f, w in zip(fields, widths):
+        out = F.shiftleft(out, w).bitwiseOR(f.cast("long").bitwiseAND(F.lit((1 << w) - 1)))
+    return out
+
+
+def unpacked(x: Column, widths: list[int]) -> list[Column]:
+    out, at = [], 0
+    for w in reversed(widths):
+        out.append(F.shiftright(x, at).bitwiseAND(F.lit((1 << w) - 1)))
+        at += w
+    return out[::-1]

@@ -104,12 +104,56 @@ def bits_for(n: int) -> int:
     return max(0, (n - 1).bit_length())
 
 
-def ordered_bits(x: Column, bits: int, low: float, high: float) -> Column:
+def quantised(x: Column, bits: int, low: float, high: float) -> Column:
     """x as a whole number of `bits` bits that keeps the order of values in [low, high]."""
     top = (1 << bits) - 1
     return F.least(F.greatest(F.floor((x - low) / (high - low) * (top + 1)), F.lit(0)), F.lit(top)).cast("long")
 
 
+def float_bits(x: Column) -> Column:
+    """The 32 bits of a single-precision number, without its sign, as a whole number: exponent and fraction. Numbers
+    below the smallest normal one are taken as zero."""
+    a = F.abs(x.cast("float").cast("double"))
+    e = F.floor(F.log2(a))
+    e = F.when(a >= F.pow(F.lit(2.0), e + 1), e + 1).when(a < F.pow(F.lit(2.0), e), e - 1).otherwise(e)  # the logarithm is rounded
+    bits = (e + 127) * F.lit(1 << 23) + F.round((a / F.pow(F.lit(2.0), e) - 1) * F.lit(float(1 << 23)))
+    return F.when(a < 2.0**-126, F.lit(0)).otherwise(bits).cast("long")
+
+
+def ordered_bits(x: Column, bits: int) -> Column:
+    """The top `bits` of a single-precision number's bits, in the order of the numbers: negative ones are mirrored."""
+    magnitude = float_bits(x)
+    return F.shiftright(F.when(x < 0, -magnitude).otherwise(magnitude) + F.lit(1 << 31), 32 - bits)
+
+
+def _times32(x: Column, k: int) -> Column:
+    """x k modulo 2**32, in halves, so that no product leaves 64 bits."""
+    low, high = x.bitwiseAND(F.lit(0xFFFF)), F.shiftright(x, 16)
+    return (low * F.lit(k) + F.shiftleft((high * F.lit(k)).bitwiseAND(F.lit(0xFFFF)), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def _turned(x: Column, r: int) -> Column:
+    return F.shiftleft(x, r).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.shiftright(x, 32 - r))
+
+
+def murmur_mix(h: Column, k: Column) -> Column:
+    """One mixing step of the 32-bit MurmurHash3, on whole numbers below 2**32."""
+    from tallyforge.functions.arrays import let
+
+    # Fixed values of that hash: 0xCC9E2D51, 0x1B873593, 0xE6546B64, turns of 15 and 13.
+    mixed = let(_times32(k, 0xCC9E2D51), lambda x: _times32(_turned(x, 15), 0x1B873593))
+    return let(h.bitwiseXOR(mixed), lambda x: (_times32(_turned(x, 13), 5) + F.lit(0xE6546B64)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def murmur_hash(parts: list[Column], n: int) -> Column:
+    """The first key mixed with the others, as a signed 32-bit number, without sign below n."""
+    h = parts[0].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    for p in parts[1:]:
+        h = murmur_mix(h, p.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    signed = F.when(h >= F.lit(1 << 31), h - F.lit(1 << 32)).otherwise(h)
+    return F.abs(signed % F.lit(n))
+
+
 def arithmetic_hash(parts: list[Column], n: int) -> Column:
     """A whole-number mix of keys below n, the same in any engine."""
     h = F.lit(0).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.operators.ordering import running_max
+from tallyforge.operators.ordering import row_numbers, running_max
 
 
 def current(messages: DataFrame, lag: int) -> DataFrame:
@@ -33,8 +33,36 @@ def blended(model: DataFrame, average: DataFrame, keys: list[str], alpha: float)
     return model.join(a, keys, "left").withColumn("value", F.when(F.col("__avg").isNull(), F.col("value")).otherwise((1 - alpha) * F.col("value") + alpha * F.col("__avg"))).drop("__avg")
 
 
+def scattered(messages: DataFrame, workers: int, reduce_at: float, kind: str = "average") -> DataFrame:
+    """(round, chunk, value, n): the first messages of each chunk, in order of arrival and one a worker, up to the number that
+    a chunk waits for; later ones are left out, as the chunk is sent on without them."""
+    need = max(1, int(reduce_at * workers))
+    first = messages.groupBy("round", "chunk", "worker").agg(F.min_by("value", "arrival").alias("value"), F.min("arrival").alias("arrival"))
+    order = Window.partitionBy("round", "chunk").orderBy("arrival")  # at most a row a worker
+    in_time = first.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= need)
+    r = in_time.groupBy("round", "chunk").agg(F.sum("value").alias("s"), F.count("*").alias("n"), F.max("arrival").alias("done")).where(F.col("n") >= need)
+    return r.select("round", "chunk", (F.col("s") / F.col("n") if kind == "average" else F.col("s")).alias("value"), "n", "done")
+
+
+def completed_rounds(reduced: DataFrame, chunks: int, complete_at: float) -> DataFrame:
+    """(round, chunks, done): rounds that reached their threshold of reduced chunks, and the arrival that completed them."""
+    need = max(1, int(complete_at * chunks))
+    order = Window.partitionBy("round").orderBy("done", "chunk")  # at most a row a chunk
+    placed = reduced.withColumn("__k", F.row_number().over(order))
+    return placed.groupBy("round").agg(F.count("*").alias("chunks"), F.max(F.when(F.col("__k") == need, F.col("done"))).alias("done")).where(F.col("chunks") >= need)
+
+
+def line_masters(rounds: DataFrame, lines: int, advance_at: float) -> DataFrame:
+    """(round, lines, done): rounds (line, round, done) that enough lines of workers have completed, so that the master lets
+    the next one begin."""
+    need = max(1, int(advance_at * lines))
+    order = Window.partitionBy("round").orderBy("done", "line")  # at most a row a line
+    placed = rounds.withColumn("__k", F.row_number().over(order))
+    return placed.groupBy("round").agg(F.count("*").alias("lines"), F.max(F.when(F.col("__k") == need, F.col("done"))).alias("done")).where(F.col("lines") >= need)
+
+
 def grid_places(nodes: DataFrame, node: str = "node") -> DataFrame:
     """Row and column of each node in the smallest square grid that holds all, filled by node order."""
     n = nodes.agg(F.ceil(F.sqrt(F.count("*"))).alias("side"))
-    placed = nodes.withColumn("place", F.row_number().over(Window.orderBy(node)) - 1)
+    placed = row_numbers(nodes, (node,), "place")
     return placed.crossJoin(F.broadcast(n)).select(node, F.floor(F.col("place") / F.col("side")).alias("grid_row"), F.pmod(F.col("place"), F.col("side")).alias("grid_col"))

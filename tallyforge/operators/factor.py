@@ -87,3 +87,25 @@ def topic_cosines(model: DataFrame) -> DataFrame:
     a = m.select("feature", F.col("topic").alias("t1"), F.col("w").alias("a"))
     b = m.select("feature", F.col("topic").alias("t2"), F.col("w").alias("b"))
     return a.join(b, "feature").where("t1 < t2").groupBy("t1", "t2").agg(F.sum(F.col("a") * F.col("b")).alias("cos"))
+
+
+def langevin_step(ratings: DataFrame, own: DataFrame, other: DataFrame, key: str, k: int, rate: float, noise: float) -> DataFrame:
+    """(key, u, kept, loss): each owner's factors after one proposal along the slope of their own ratings, with noise, that is
+    taken with probability exp(old loss - new loss). ratings: (key, other's key, y); own: (key, u); other: (its key, m).
+    Draws come from the owner's key, so that a task run again draws the same."""
+    from tallyforge.functions import sampling
+
+    j = ratings.join(own, key).join(other, [c for c in other.columns if c != "m"]).withColumn("r", F.col("y") - dot(F.col("u"), F.col("m")))
+    slope = j.withColumn("rm", scaled(F.col("r"), F.col("m"))).groupBy(key).agg(F.array(*[F.avg(F.get("rm", F.lit(i))) for i in range(k)]).alias("g"))
+    new = F.array(*[F.get("u", F.lit(i)) + 2 * rate * F.get("g", F.lit(i)) + noise * sampling.normal(F.col(key), i) for i in range(k)])
+    proposed = own.join(slope, key).select(key, "u", new.alias("v"))
+    both = ratings.join(proposed, key).join(other, [c for c in other.columns if c != "m"])
+    square = lambda c: F.avg(F.pow(F.col("y") - dot(F.col(c), F.col("m")), F.lit(2.0)))
+    judged = both.groupBy(key).agg(square("u").alias("old"), square("v").alias("new"))
+    kept = F.ln(sampling.uniform(F.col(key), 2 * k + 1)) < F.col("old") - F.col("new")
+    return proposed.join(judged, key).select(key, F.when(kept, F.col("v")).otherwise(F.col("u")).alias("u"), kept.alias("kept"), F.when(kept, F.col("new")).otherwise(F.col("old")).alias("loss"))
+
+
+def mixture_posterior(x: Column, means: list[float], sd: float, which: int) -> Column:
+    """Probability that x comes from one of evenly mixed Gaussian bumps."""
+    return F.exp(-(x - means[which]) * (x - means[which]) / (2 * sd * sd)) / sum((F.exp(-(x - m) * (x - m) / (2 * sd * sd)) for m in means), F.lit(0.0))

@@ -94,6 +94,59 @@ def fm_predictor(features: list[str], w: list[float], v1: list[list[float]], v2:
     return e
 
 
+def multi_step(triples: DataFrame, targets: DataFrame, model: DataFrame, link: str, rate: float, step: int, l1: float = 0.0, l2: float = 0.0) -> DataFrame:
+    """(target, key, w, ss) after a minibatch of sparse samples (sample, key, x) with several targets (sample, target, t):
+    ADAGrad on the gradient less the penalties' slopes. Samples without any known feature have a predictor of zero."""
+    d = slopes(triples, targets, model, link).select("sample", "target", LINKS[link].slope(F.col("pred"), F.col("t")).alias("d"))
+    g = triples.join(d, "sample").groupBy("target", "key").agg(F.sum(F.col("d") * F.col("x")).alias("g"))
+    j = model.join(g, ["target", "key"], "left").withColumn("g", F.coalesce("g", F.lit(0.0)) - l1 * F.signum("w") - l2 * F.col("w"))
+    j = j.withColumn("ss", adagrad_state(F.col("ss"), F.col("g"), step))
+    return j.select("target", "key", adagrad(F.col("w"), F.col("g"), F.col("ss"), rate).alias("w"), "ss")
+
+
+def slopes(triples: DataFrame, targets: DataFrame, model: DataFrame, link: str) -> DataFrame:
+    """targets with pred: the prediction for each sample and target."""
+    eta = triples.join(model, "key").groupBy("sample", "target").agg(F.sum(F.col("w") * F.col("x")).alias("eta"))
+    return targets.join(eta, ["sample", "target"], "left").withColumn("pred", LINKS[link].mean(F.coalesce("eta", F.lit(0.0)))).drop("eta")
+
+
+def train_minibatches(triples: DataFrame, targets: DataFrame, model: DataFrame, link: str, batch: Column, batches: int, rate: float, l1: float = 0.0, l2: float = 0.0, held: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """The model after one pass over minibatches 0 to batches - 1 of the samples (`batch` is a column of sample), and
+    (target, ll) of the batch held out, if one is. Each step's model is written, so that lineage stays one step long."""
+    from tallyforge.scratch import kept
+
+    step = 0
+    for b in range(batches):
+        if b != held:
+            step += 1
+            model = kept(multi_step(triples.where(batch == b), targets.where(batch == b), model, link, rate, step, l1, l2), "glm-step")
+    if held is None:
+        return model, None
+    p = slopes(triples.where(batch == held), targets.where(batch == held), model, link)
+    return model, p.groupBy("target").agg(F.avg(LINKS[link].score(F.col("pred"), F.col("t"))).alias("ll"))
+
+
+def fm_gradient(df: DataFrame, features: list[str], w: list[float], v1: list[list[float]], v2: list[list[float]], target: str) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """Mean gradients of the logistic score by w (with the constant's last), V1 and V2: one aggregate."""
+    d = F.col(target) - logistic(fm_predictor(features, w, v1, v2))
+    sums = [F.avg(d * F.col(f)) for f in features] + [F.avg(d)]
+    for rows, sign in ((v1, 2.0), (v2, -2.0)):
+        sums += [F.avg(d * sign * linear(features, r) * F.col(f)) for r in rows for f in features]
+    got = [float(x or 0.0) for x in df.agg(*[c.alias(f"g{i}") for i, c in enumerate(sums)]).first()]
+    n, k = len(features), len(v1) * len(features)
+    shape = lambda x: [x[i : i + n] for i in range(0, len(x), n)]
+    return got[: n + 1], shape(got[n + 1 : n + 1 + k]), shape(got[n + 1 + k :])
+
+
+def fm_train(df: DataFrame, features: list[str], w: list[float], v1: list[list[float]], v2: list[list[float]], target: str, steps: int, rate: float) -> tuple[list[float], list[list[float]], list[list[float]]]:
+    """Full-batch ascent steps of a factorisation machine; the few weights are held by the driver."""
+    add = lambda a, b: [x + rate * y for x, y in zip(a, b)]
+    for _ in range(steps):
+        gw, g1, g2 = fm_gradient(df, features, w, v1, v2, target)
+        w, v1, v2 = add(w, gw), [add(a, b) for a, b in zip(v1, g1)], [add(a, b) for a, b in zip(v2, g2)]
+    return w, v1, v2
+
+
 def treatment_effect(df: DataFrame, treated: str, outcome: str, propensity: str, m1: str | None = None, m0: str | None = None, textbook: bool = True) -> DataFrame:
     """(ipw, aipw): propensity-weighted effect, and the effect augmented by outcome models m1 and m0. The form that is
     not textbook adds the two augmentations instead of weighting them by their own arm."""

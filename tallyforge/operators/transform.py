@@ -35,11 +35,10 @@ def stacked(parts: list[tuple[DataFrame, int]]) -> DataFrame:
 
 def zipped(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
     """Two aligned sources side by side; refuses sources of different keys."""
-    both = left.join(right, on, "full").withColumn("__l", F.lit(True))
-    skew = left.join(right, on, "left_anti").limit(1).count() or right.join(left, on, "left_anti").limit(1).count()
-    if skew:
+    both = left.withColumn("__l", F.lit(True)).join(right.withColumn("__r", F.lit(True)), on, "full")
+    if both.where("__l is null or __r is null").limit(1).count():
         raise ValueError("the sources do not hold the same samples")
-    return both.drop("__l")
+    return both.drop("__l", "__r")
 
 
 def hashed_share(key: Column, share: float, buckets: int = 1000) -> Column:
@@ -59,7 +58,7 @@ def sparse(df: DataFrame, row: str, col: str, value: Column) -> DataFrame:
 
 def full(triples: DataFrame, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """Every (row, col) of two key tables, zero where there is no triple. The grid is the result's own size."""
-    grid = rows.crossJoin(F.broadcast(cols))
+    grid = rows.crossJoin(cols)
     return grid.join(triples, grid.columns, "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 

@@ -53,7 +53,7 @@ def clip_norm(df: DataFrame, by: str | None, g: str, limit: float) -> DataFrame:
     """Scales gradients whose root mean square (by group, or over all) is above the limit."""
     keys = [by] if by else []
     size = df.groupBy(*keys).agg(F.sqrt(F.avg(F.col(g) * F.col(g))).alias("__rms"))
-    j = df.join(F.broadcast(size), by) if by else df.crossJoin(F.broadcast(size))
+    j = df.join(size, by) if by else df.crossJoin(F.broadcast(size))
     return j.withColumn(g, F.when(F.col("__rms") > limit, F.col(g) * limit / F.col("__rms")).otherwise(F.col(g))).drop("__rms")
 
 

@@ -10,6 +10,7 @@ from tallyforge.operators import regression as G
 from tallyforge.operators import updaters as U
 from tallyforge.plans.catalog import query
 from tallyforge.plans.fixtures import LONG, SAMPLES, dense, samples, table
+from tallyforge.scratch import kept
 
 FEATURES, WEIGHTS = ["f1", "f2", "f3"], [0.8, -1.5, 2.0, 0.1]
 ETA = "0.1::DOUBLE + f1 * 0.8::DOUBLE + f2 * -1.5::DOUBLE + f3 * 2.0::DOUBLE"
@@ -38,7 +39,9 @@ m{n} AS (SELECT {', '.join(f'(1 - 1.0::DOUBLE / {n}) * q{i} + g{i} * g{i} / {n}
 
 @query("glm_train", f"WITH {SAMPLES}, m0 AS (SELECT 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2, 0.0::DOUBLE AS w3, 0.0::DOUBLE AS w4, 0.0::DOUBLE AS q1, 0.0::DOUBLE AS q2, 0.0::DOUBLE AS q3, 0.0::DOUBLE AS q4), {_STEP(1, 'm0')}, {_STEP(2, 'm1')}, {_STEP(3, 'm2')} SELECT round(w1, 5) AS w1, round(w2, 5) AS w2, round(w3, 5) AS w3, round(w4, 5) AS w4 FROM m3")
 def glm_train(spark, d):
-    w = G.train(samples(spark, d).persist(), FEATURES, "logistic", "y", 3, 0.5)
+    s = samples(spark, d).persist()
+    w = G.train(s, FEATURES, "logistic", "y", 3, 0.5)
+    s.unpersist()
     return spark.createDataFrame([tuple(round(x, 5) for x in w)], "w1 double, w2 double, w3 double, w4 double")
 
 
@@ -140,7 +143,9 @@ def kmeansw(spark, d):
 @query("kmeans_fit", None)
 def kmeans_fit(spark, d):
     e = dense(spark, d, 1, 64).persist()
-    return C.assign(e, "x", C.kmeans(e, "vec_id", "x", 8, 5)).groupBy("cid").agg(F.count("*").alias("n"), F.round(F.avg("d2"), 4).alias("avg_d2"))
+    centroids = C.kmeans(e, "vec_id", "x", 8, 5)
+    e.unpersist()
+    return C.assign(e, "x", centroids).groupBy("cid").agg(F.count("*").alias("n"), F.round(F.avg("d2"), 4).alias("avg_d2"))
 
 
 @query("kmeans_merge", f"WITH {NEAR}, r AS (SELECT vec_id % 3 AS rep, cid, i, avg(x) AS m, count(*) AS n FROM nea JOIN lng USING (vec_id) GROUP BY ALL) SELECT CAST(cid AS INTEGER) AS cid, i, round(sum(m * n) / sum(n), 6) AS m FROM r GROUP BY cid, i")
@@ -157,7 +162,9 @@ def kmeans_merge(spark, d):
 @query("pam", None)
 def pam(spark, d):
     e = dense(spark, d, 1, 64).persist()
-    got = C.assign(e, "x", spark.createDataFrame(C.pam(e, "vec_id", "x", 4), "cid int, c array<double>"))
+    medoids = spark.createDataFrame(C.pam(e, "vec_id", "x", 4), "cid int, c array<double>")
+    e.unpersist()
+    got = C.assign(e, "x", medoids)
     return got.groupBy("cid").agg(F.count("*").alias("n"), F.round(F.sum(F.sqrt("d2")), 4).alias("cost"))
 
 
@@ -226,28 +233,68 @@ def rf_fit_predict(spark, d):
 
     s = tree_samples(spark, d).persist()
     inner, leaves = R.grow(s, 3, "label", ["A", "N", "R"], trees=2, depth=2, least_gain=0.0001)
+    leaves = kept(leaves, "leaves")
+    s.unpersist()
     votes = R.predict(s, inner, leaves, depth=2, trees=2)
     return tally(votes, "sample", "vote").groupBy("vote").agg(F.count("*").alias("n"))
 
 
-@query("rf_predict_mean", "WITH v AS (SELECT l_orderkey AS sample, l_linenumber AS tree, l_quantity AS v FROM lineitem) SELECT sample, round(avg(v), 6) AS mean, round(coalesce(stddev_pop(v), 0), 5) AS std FROM v GROUP BY sample")
+#: Two small forests over (quantity, discount, tax): (tree, node, feature, threshold, gain) and (tree, node, label).
+FOREST_A = ([(0, 0, 0, 25.0, 0.0), (0, 1, 1, 0.05, 0.0), (0, 2, 2, 0.04, 0.0), (1, 0, 1, 0.03, 0.0)], [(0, 3, 0.0), (0, 4, 1.0), (0, 5, 2.0), (0, 6, 3.0), (1, 1, 1.5), (1, 2, 2.5)])
+FOREST_B = ([(0, 0, 2, 0.02, 0.0)], [(0, 1, -1.0), (0, 2, 4.0)])
+VOTES_A = "CASE WHEN l_quantity > 25 THEN CASE WHEN l_tax > 0.04 THEN 3.0 ELSE 2.0 END ELSE CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END END", "CASE WHEN l_discount > 0.03 THEN 2.5 ELSE 1.5 END"
+VOTES_B = "CASE WHEN l_tax > 0.02 THEN 4.0 ELSE -1.0 END"
+LINES = "lin AS (SELECT DISTINCT l_orderkey * 8 + l_linenumber AS sample, l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag FROM lineitem)"
+
+
+def forest_tables(spark, forest):
+    inner, leaves = forest
+    return spark.createDataFrame(inner, "tree int, node long, feature long, threshold double, gain double"), spark.createDataFrame(leaves, "tree int, node long, label double")
+
+
+def forest_votes(spark, d, inner, leaves, trees):
+    return R.predict(tree_samples(spark, d).drop("label"), inner, leaves, 2, trees)
+
+
+@query("rf_predict_mean", f"WITH {LINES}, v AS (SELECT sample, {VOTES_A[0]} AS a, {VOTES_A[1]} AS b FROM lin) SELECT sample, round(avg(x), 6) AS mean, round(stddev_pop(x), 5) AS std FROM (SELECT sample, a AS x FROM v UNION ALL SELECT sample, b FROM v) GROUP BY sample")
 def rf_predict_mean(spark, d):
-    """Regression votes: mean over trees, and their spread."""
-    v = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample"), F.col("l_quantity").alias("v"))
-    return v.groupBy("sample").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 5).alias("std"))
+    """Regression: each sample walks both trees; mean of its leaves, and their spread."""
+    v = forest_votes(spark, d, *forest_tables(spark, FOREST_A), 2)
+    return v.groupBy("sample").agg(F.round(F.avg("vote"), 6).alias("mean"), F.round(F.stddev_pop("vote"), 5).alias("std"))
 
 
-@query("rf_merge", "SELECT CAST(k AS INTEGER) AS tree, count(*) AS n FROM (SELECT n_regionkey AS k FROM nation UNION ALL SELECT n_regionkey + 5 FROM nation) GROUP BY 1")
+_MERGED = f"WITH {LINES}, v AS (SELECT 0 AS tree, {VOTES_A[0]} AS vote FROM lin UNION ALL SELECT 1, {VOTES_A[1]} FROM lin UNION ALL SELECT 2, {VOTES_B} FROM lin) "
+
+
+@query("rf_merge", _MERGED + "SELECT tree, vote, count(*) AS n FROM v GROUP BY ALL")
 def rf_merge(spark, d):
-    f = table(spark, d, "nation").select(F.col("n_regionkey").cast("int").alias("tree"), F.col("n_nationkey").alias("node"))
-    return R.merge(f, f).groupBy("tree").agg(F.count("*").alias("n"))
+    """Two forests as one: the votes of all trees, those of the second under numbers after the first's."""
+    (ia, la), (ib, lb) = forest_tables(spark, FOREST_A), forest_tables(spark, FOREST_B)
+    return forest_votes(spark, d, R.merge(ia, ib), R.merge(la, lb), 3).groupBy("tree", "vote").agg(F.count("*").alias("n"))
+
+
+@query("forest_save", _MERGED + "SELECT tree, vote, count(*) AS n FROM v WHERE tree < 2 GROUP BY ALL")
+def forest_save(spark, d):
+    """A forest written as a model directory and read back predicts as before."""
+    from tallyforge.scratch import scratch
+    from tallyforge.sources import files
+
+    inner, leaves = forest_tables(spark, FOREST_A)
+    path = scratch(spark, "forest")
+    files.save_model(path, {"trees": 2, "depth": 2}, inner=inner, leaves=leaves)
+    options, m = files.load_model(spark, path, "inner", "leaves")
+    v = R.predict(tree_samples(spark, d).drop("label"), m["inner"], m["leaves"], options["depth"], options["trees"])
+    return v.groupBy("tree", "vote").agg(F.count("*").alias("n"))
 
 
-@query("gmm_demo", f"WITH {SAMPLES} SELECT round(sum(ln(0.5::DOUBLE * exp(-(f1 - 0.3) * (f1 - 0.3) / 0.02) + 0.5::DOUBLE * exp(-(f1 - 0.7) * (f1 - 0.7) / 0.02))), 3) AS loglik FROM smp")
+@query("gmm_demo", f"WITH {SAMPLES}, p AS (SELECT exp(-(f1 - 0.3) * (f1 - 0.3) / 0.02) AS a, exp(-(f1 - 0.7) * (f1 - 0.7) / 0.02) AS b FROM smp) SELECT round(sum(ln(0.5::DOUBLE * a + 0.5::DOUBLE * b)), 3) AS loglik, round(avg(a / (a + b)), 6) AS first, round(avg(b / (a + b)), 6) AS second FROM p")
 def gmm_demo(spark, d):
-    from tallyforge.operators.factor import mixture_loglik
+    """Log likelihood of an even mixture of two, and how much of the samples each takes."""
+    from tallyforge.operators.factor import mixture_loglik, mixture_posterior
 
-    return samples(spark, d).agg(F.round(F.sum(mixture_loglik(F.col("f1"), [0.3, 0.7], 0.1)), 3).alias("loglik"))
+    x, means = F.col("f1"), [0.3, 0.7]
+    shares = [F.round(F.avg(mixture_posterior(x, means, 0.1, i)), 6).alias(n) for i, n in enumerate(("first", "second"))]
+    return samples(spark, d).agg(F.round(F.sum(mixture_loglik(x, means, 0.1)), 3).alias("loglik"), *shares)
 
 
 # Update rules ------------------------------------------------------------------------------------------------------

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import allreduce as R
 from tallyforge.plans.catalog import query
+from tallyforge.plans.model_plans import LINES, VOTES_A, VOTES_B
 from tallyforge.plans.fixtures import SAMPLES, samples, table
 from tallyforge.scratch import scratch
 from tallyforge.streaming.passes import RunningSums, StreamingPass, table_stream
@@ -49,11 +50,11 @@ def st_parlearner(spark, d):
     return r.agg(F.round(F.avg("w"), 7).alias("w"), F.count("*").alias("replicas"))
 
 
-MESSAGES = "msg AS (SELECT event_id AS arrival, event_id // 500 AS round, user_id % 4 AS worker, event_id % 10 AS chunk, CAST(round(value * 100) AS BIGINT) AS value FROM events WHERE event_id % 7 <> 0)"
+MESSAGES = "msg AS (SELECT event_id AS arrival, event_id // 500 AS round, user_id % 4 AS worker, event_id % 10 AS chunk, CAST(round(value * 100) AS BIGINT) AS value FROM events)"
 
 
 def messages(spark, d):
-    e = table(spark, d, "events").where("event_id % 7 <> 0")
+    e = table(spark, d, "events")
     return e.select(F.col("event_id").alias("arrival"), F.floor(F.col("event_id") / 500).alias("round"), (F.col("user_id") % 4).alias("worker"), (F.col("event_id") % 10).alias("chunk"), F.round(F.col("value") * 100).cast("long").alias("value"))
 
 
@@ -92,15 +93,60 @@ def elastic_average(spark, d):
     return R.blended(model, R.reduced(m, 4).where("round = 1"), ["chunk"], 0.1).select("chunk", F.round("value", 6).alias("value"))
 
 
-@query("grid_layout", "WITH p AS (SELECT n_nationkey AS node, row_number() OVER (ORDER BY n_nationkey) - 1 AS p FROM nation WHERE n_nationkey < 20) SELECT node, p // 5 AS grid_row, p % 5 AS grid_col FROM p")
+_FIRST = f"{MESSAGES}, fst AS (SELECT round, chunk, worker, min_by(value, arrival) AS value, min(arrival) AS arrival FROM msg GROUP BY ALL), ord AS (SELECT *, row_number() OVER (PARTITION BY round, chunk ORDER BY arrival) AS k FROM fst), sca AS (SELECT round, chunk, sum(value) / CAST(count(*) AS DOUBLE) AS value, count(*) AS n, max(arrival) AS done FROM ord WHERE k <= 3 GROUP BY ALL HAVING count(*) >= 3)"
+
+
+@query("allreduce_scatter", f"WITH {_FIRST} SELECT round, chunk, round(value, 6) AS value, n, done FROM sca")
+def allreduce_scatter(spark, d):
+    """Chunks that are sent on when three of four workers have come; a worker's later messages and the last worker are late."""
+    return R.scattered(messages(spark, d), 4, 0.75).withColumn("value", F.round("value", 6))
+
+
+@query("allreduce_complete", f"WITH {_FIRST}, k AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY done, chunk) AS k FROM sca) SELECT round, count(*) AS chunks, max(CASE WHEN k = 8 THEN done END) AS done FROM k GROUP BY round HAVING count(*) >= 8")
+def allreduce_complete(spark, d):
+    """Rounds complete at eight of ten reduced chunks."""
+    return R.completed_rounds(R.scattered(messages(spark, d), 4, 0.75), 10, 0.8)
+
+
+@query("allreduce_advance", f"""WITH {MESSAGES}, ln AS (SELECT *, user_line AS line FROM (SELECT m.*, e.user_id % 3 AS user_line FROM msg m JOIN events e ON e.event_id = m.arrival)),
+w AS (SELECT line, round, count(DISTINCT chunk) AS chunks, max(arrival) AS done FROM ln GROUP BY ALL HAVING count(DISTINCT chunk) >= 10), k AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY done, line) AS k FROM w)
+SELECT round, count(*) AS lines, max(CASE WHEN k = 2 THEN done END) AS done FROM k GROUP BY round HAVING count(*) >= 2""")
+def allreduce_advance(spark, d):
+    """Rounds that two of three lines of workers have finished, so that the next may begin."""
+    m = messages(spark, d).join(table(spark, d, "events").select(F.col("event_id").alias("arrival"), (F.col("user_id") % 3).alias("line")), "arrival")
+    lines = m.groupBy("line", "round").agg(F.count_distinct("chunk").alias("c"), F.max("arrival").alias("done")).where("c >= 10")
+    return R.line_masters(lines.select("line", "round", "done"), 3, 0.67)
+
+
+@query("worker_statistics", f"WITH {MESSAGES} SELECT worker, count(*) AS messages, CAST(sum(value) AS BIGINT) AS total, max(round) AS newest, CAST(max(arrival) - min(arrival) AS BIGINT) AS span FROM msg GROUP BY worker")
+def worker_statistics(spark, d):
+    """What each worker has sent."""
+    return messages(spark, d).groupBy("worker").agg(F.count("*").alias("messages"), F.sum("value").alias("total"), F.max("round").alias("newest"), (F.max("arrival") - F.min("arrival")).alias("span"))
+
+
+@query("grid_layout", "WITH p AS (SELECT c_custkey AS node, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer), s AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS s FROM customer) SELECT node, p // s AS grid_row, p % s AS grid_col FROM p, s")
 def grid_layout(spark, d):
-    return R.grid_places(table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("node")))
+    return R.grid_places(table(spark, d, "customer").select(F.col("c_custkey").alias("node")))
 
 
-@query("model_merge_trees", "SELECT CAST(k AS BIGINT) AS tree, count(*) AS n FROM (SELECT s_nationkey AS k FROM supplier UNION ALL SELECT s_nationkey + 25 FROM supplier) GROUP BY 1")
+@query("grid_changes", "WITH a AS (SELECT c_custkey AS node, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer), s AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS s FROM customer), b AS (SELECT c_custkey AS node, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer WHERE c_mktsegment <> 'BUILDING'), t AS (SELECT CAST(ceil(sqrt(count(*))) AS BIGINT) AS t FROM customer WHERE c_mktsegment <> 'BUILDING') SELECT a.p // s.s = b.p // t.t AS same_row, a.p % s.s = b.p % t.t AS same_col, count(*) AS n FROM a JOIN b USING (node), s, t GROUP BY ALL")
+def grid_changes(spark, d):
+    """Nodes leave, the rest is laid out anew: how many keep their row's and column's master."""
+    c = table(spark, d, "customer")
+    before = R.grid_places(c.select(F.col("c_custkey").alias("node"))).select("node", F.col("grid_row").alias("r"), F.col("grid_col").alias("c"))
+    after = R.grid_places(c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("node")))
+    return before.join(after, "node").groupBy((F.col("r") == F.col("grid_row")).alias("same_row"), (F.col("c") == F.col("grid_col")).alias("same_col")).agg(F.count("*").alias("n"))
+
+
+@query("model_merge_trees", f"""WITH {LINES}, v AS (SELECT sample, {VOTES_A[0]} + {VOTES_A[1]} + {VOTES_B} AS s FROM lin) SELECT sample, round(s / 3, 6) AS mean FROM v""")
 def model_merge_trees(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("tree"))
-    return s.unionByName(s.withColumn("tree", F.col("tree") + 25)).groupBy("tree").agg(F.count("*").alias("n"))
+    """The merged forest of two workers predicts by all their trees."""
+    from tallyforge.operators import forest
+    from tallyforge.plans.model_plans import FOREST_A, FOREST_B, forest_tables, forest_votes
+
+    (ia, la), (ib, lb) = forest_tables(spark, FOREST_A), forest_tables(spark, FOREST_B)
+    v = forest_votes(spark, d, forest.merge(ia, ib), forest.merge(la, lb), 3)
+    return v.groupBy("sample").agg(F.round(F.avg("vote"), 6).alias("mean"))
 
 
 @query("gradient_clip_windows", "SELECT event_id // 1000 AS block, round(avg(greatest(-5, least(5, value - 10))), 6) AS g FROM events GROUP BY 1")
