@@ -27,10 +27,19 @@ def start_users(triples: DataFrame, k: int, value: float = 1.0) -> DataFrame:
     return triples.select("doc").distinct().withColumn("u", F.array(*[F.lit(float(value))] * k))
 
 
+#: Terms up to which a model of a few numbers a term is sent to every task (some 20 MB); more are joined by shuffle.
+SENT_TERMS = 250_000
+
+
+def with_model(triples: DataFrame, model: DataFrame, k: int) -> DataFrame:
+    """triples joined with their terms' factors; the model is broadcast only after it was counted."""
+    return triples.join(F.broadcast(model) if model.count() * max(k, 4) <= SENT_TERMS * 4 else model, "term")
+
+
 def lda_user_step(triples: DataFrame, users: DataFrame, model: DataFrame, k: int, alpha: float, floor: float = 1e-10, expectation=None) -> DataFrame:
     """(doc, u): u * (M (S / (M'u))) + alpha for counts (doc, term, s), model (term, m): one join of the triples with
     both factors and one sum by document. `expectation`, if given, is applied to each element (exp of digamma)."""
-    j = triples.join(users, "doc").join(model, "term")
+    j = with_model(triples, model, k).join(users, "doc")
     r = j.withColumn("q", F.col("s") / F.greatest(dot(F.col("u"), F.col("m")), F.lit(floor)))
     g = r.select("doc", scaled(F.col("q"), F.col("m")).alias("qm")).groupBy("doc").agg(array_sum("qm", k).alias("g"))
     new = F.zip_with("u", "g", lambda u, x: u * x + alpha)
@@ -39,7 +48,7 @@ def lda_user_step(triples: DataFrame, users: DataFrame, model: DataFrame, k: int
 
 def lda_model_step(triples: DataFrame, users: DataFrame, model: DataFrame, k: int, beta: float, floor: float = 1e-10) -> DataFrame:
     """(term, m): m * (sum over documents of u s / (M'u)) + beta."""
-    j = triples.join(users, "doc").join(model, "term")
+    j = with_model(triples, model, k).join(users, "doc")
     r = j.withColumn("q", F.col("s") / F.greatest(dot(F.col("u"), F.col("m")), F.lit(floor)))
     g = r.select("term", scaled(F.col("q"), F.col("u")).alias("qu")).groupBy("term").agg(array_sum("qu", k).alias("g"))
     return model.join(g, "term").select("term", F.zip_with("m", "g", lambda m, x: m * x + beta).alias("m"))
@@ -57,7 +66,7 @@ def lda_loglik(triples: DataFrame, users: DataFrame, model: DataFrame, k: int) -
 def nmf_user_step(triples: DataFrame, users: DataFrame, model: DataFrame, gram: list[list[float]], prior: float, low: float = 0.1, high: float = 10.0) -> DataFrame:
     """(doc, u): u * clamp(M S / ((M M' + prior I) u)); gram is M M', k by k numbers from one aggregate."""
     k = len(gram)
-    g = triples.join(model, "term").select("doc", scaled(F.col("s"), F.col("m")).alias("sm")).groupBy("doc").agg(array_sum("sm", k).alias("g"))
+    g = with_model(triples, model, k).select("doc", scaled(F.col("s"), F.col("m")).alias("sm")).groupBy("doc").agg(array_sum("sm", k).alias("g"))
     den = [total(F.zip_with(F.array(*[F.lit(float(v + (prior if i == j else 0.0))) for j, v in enumerate(row)]), "u", lambda a, b: a * b)) for i, row in enumerate(gram)]
     new = F.array(*[F.get("u", F.lit(i)) * F.greatest(F.lit(low), F.least(F.lit(high), F.get("g", F.lit(i)) / den[i])) for i in range(k)])
     return users.join(g, "doc").select("doc", new.alias("u"))

@@ -9,14 +9,17 @@ from tallyforge.functions.arrays import dot
 from tallyforge.operators import decompose as D
 from tallyforge.operators import factor as X
 from tallyforge.operators import text as T
+from tallyforge.plans import linear_plans
 from tallyforge.plans.catalog import query
-from tallyforge.plans.fixtures import RATINGS, TOKENS, counts, dense, ratings, table, token_lists, tokens
+from tallyforge.scratch import kept
+from tallyforge.plans.fixtures import RATINGS, SAMPLES, TOKENS, counts, dense, ratings, table, token_lists, tokens
 
 TRI = f"{TOKENS}, tri AS (SELECT doc_id AS doc, tok AS term, CAST(count(*) AS DOUBLE) AS s FROM tok GROUP BY ALL), mdl AS (SELECT term, 0.1::DOUBLE * (1 + len(term) % 3) AS m1, 0.1::DOUBLE * (1 + len(term) % 4) AS m2 FROM (SELECT DISTINCT term FROM tri))"
 
 
 def triples(spark, d):
-    return counts(spark, d).select(F.col("doc_id").alias("doc"), F.col("tok").alias("term"), F.col("cnt").cast("double").alias("s"))
+    """(doc, term, s), counted from the texts once and kept: every step reads the table."""
+    return kept(counts(spark, d).select(F.col("doc_id").alias("doc"), F.col("tok").alias("term"), F.col("cnt").cast("double").alias("s")), "triples")
 
 
 def topic_model(t):
@@ -59,15 +62,27 @@ def lda_exppsi(spark, d):
     return u.select("doc", F.round(F.get("u", F.lit(0)), 4).alias("a"), F.round(F.get("u", F.lit(1)), 4).alias("b"))
 
 
-@query("lda_fit", None)
+_KNOWN = f"{TOKENS}, kn AS (SELECT tok, count(DISTINCT doc_id) AS df FROM tok GROUP BY tok HAVING count(DISTINCT doc_id) >= 5)"
+
+
+@query("lda_fit", f"WITH {_KNOWN} SELECT CAST(t AS INTEGER) AS topic, (SELECT count(*) FROM kn) AS terms, 1.0::DOUBLE AS total, TRUE AS positive FROM range(0, 3) g(t)")
 def lda_fit(spark, d):
-    """Fit to convergence by the library's variational model."""
+    """Topics of the library's variational model over all words of five texts or more: each topic's weights, brought to
+    sum one, are positive over the whole vocabulary."""
+    topics = lda_topics(spark, d)
+    return topics.groupBy("topic").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"), F.min(F.col("weight") > 0).alias("positive"))
+
+
+def lda_topics(spark, d):
+    """(topic, term, weight) of a fitted model."""
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
-    data = CountVectorizer(inputCol="words", outputCol="features", vocabSize=500, minDF=5).fit(words).transform(words)
-    return LDA(k=3, maxIter=2, seed=1).fit(data).transform(data).select("doc_id", F.size("words").alias("n"))
+    words = token_lists(spark, d).withColumnRenamed("toks", "words")
+    vocabulary = CountVectorizer(inputCol="words", outputCol="features", vocabSize=1 << 20, minDF=5).fit(words)
+    model = LDA(k=3, maxIter=2, seed=1).fit(vocabulary.transform(words))
+    rows = model.describeTopics(len(vocabulary.vocabulary)).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z"))
+    return rows.select("topic", F.col("z.termIndices").alias("term"), F.col("z.termWeights").alias("weight"))
 
 
 @query("lda_gibbs", None)
@@ -139,36 +154,45 @@ def sfa_fit(spark, d):
     return m.transform(r).agg(F.round(F.sqrt(F.avg(F.pow(F.col("rating") - F.col("prediction"), 2))), 3).alias("rmse"))
 
 
-@query("smf_langevin", None)
-def smf_langevin(spark, d):
-    """One accept-or-reject step of each user's factor: a proposal by a seed of the user, judged on its own ratings."""
-    import numpy as np
-
-    r = ratings(spark, d).select("user", "item", F.col("rating").cast("double"))
-
-    def run(pdf):
-        import pandas as pd
+_UN = linear_plans._uni
+_Z = lambda n: f"(sqrt(-2 * ln({_UN('u.\"user\"', str(2 * n))})) * cos(2 * pi() * {_UN('u.\"user\"', str(2 * n + 1))}))"
 
-        rng = np.random.default_rng(int(pdf["user"].iloc[0]))
-        m = np.stack([1 + pdf["item"] % 3, 1 + pdf["item"] % 5], axis=1) / 5.0
-        u, y = np.array([5.0, 5.0]), pdf["rating"].to_numpy()
-        loss = lambda w: float(((y - m @ w) ** 2).mean())
-        new = u + 0.01 * 2 * m.T @ (y - m @ u) / len(y) + rng.normal(0, 0.05, 2)
-        kept = bool(np.log(rng.random()) < loss(u) - loss(new))
-        return pd.DataFrame({"user": [int(pdf["user"].iloc[0])], "kept": [kept], "loss": [loss(new if kept else u)]})
 
-    return r.groupBy("user").applyInPandas(run, "user long, kept boolean, loss double")
+@query(
+    "smf_langevin",
+    f"""WITH {RATINGS}, j AS (SELECT "user", CAST(rating AS DOUBLE) AS y, (1 + item % 3) / 5.0::DOUBLE AS m1, (1 + item % 5) / 5.0::DOUBLE AS m2 FROM rat),
+g AS (SELECT "user", avg((y - 5 * m1 - 5 * m2) * m1) AS g1, avg((y - 5 * m1 - 5 * m2) * m2) AS g2 FROM j GROUP BY 1),
+v AS (SELECT u."user", 5 + 0.02::DOUBLE * g1 + 0.05::DOUBLE * {_Z(0)} AS v1, 5 + 0.02::DOUBLE * g2 + 0.05::DOUBLE * {_Z(1)} AS v2, ln({_UN('u."user"', '5')}) AS draw FROM g u),
+l AS (SELECT "user", any_value(v1) AS v1, any_value(v2) AS v2, any_value(draw) AS draw, avg((y - 5 * m1 - 5 * m2) * (y - 5 * m1 - 5 * m2)) AS old, avg((y - v1 * m1 - v2 * m2) * (y - v1 * m1 - v2 * m2)) AS new FROM j JOIN v USING ("user") GROUP BY 1)
+SELECT "user", draw < old - new AS kept, round(CASE WHEN draw < old - new THEN v1 ELSE 5 END, 6) AS u1, round(CASE WHEN draw < old - new THEN v2 ELSE 5 END, 6) AS u2, round(CASE WHEN draw < old - new THEN new ELSE old END, 4) AS loss FROM l""",
+)
+def smf_langevin(spark, d):
+    """One accept-or-reject step of every user's factors against given item factors; draws come from the user's key."""
+    r = ratings(spark, d).select("user", "item", F.col("rating").cast("double").alias("y"))
+    items = r.select("item").distinct().select("item", F.array((1 + F.col("item") % 3) / 5.0, (1 + F.col("item") % 5) / 5.0).alias("m"))
+    users = r.select("user").distinct().select("user", F.array(F.lit(5.0), F.lit(5.0)).alias("u"))
+    s = X.langevin_step(r, users, items, "user", 2, 0.01, 0.05)
+    return s.select("user", "kept", F.round(F.get("u", F.lit(0)), 6).alias("u1"), F.round(F.get("u", F.lit(1)), 6).alias("u2"), F.round("loss", 4).alias("loss"))
 
 
-@query("mhtest", None)
+@query(
+    "mhtest",
+    f"""WITH {SAMPLES}, p AS (SELECT ln(CASE WHEN y = 1 THEN 1 / (1 + exp(-0.5 * f1)) ELSE 1 - 1 / (1 + exp(-0.5 * f1)) END) - ln(CASE WHEN y = 1 THEN 1 / (1 + exp(-0.4 * f1)) ELSE 1 - 1 / (1 + exp(-0.4 * f1)) END) AS v FROM smp WHERE id % 10 = 3),
+a AS (SELECT sum(v) * 10 AS delta, 10 * stddev_samp(v) * sqrt(count(*)) AS error, count(*) AS n FROM p), u AS (SELECT *, {_UN('n', '0')} AS u FROM a)
+SELECT round(delta, 4) AS delta, round(error, 4) AS error, round(ln(u / (1 - u)), 5) AS draw, error < 1 AS decided, delta + ln(u / (1 - u)) > 0 AS accept FROM u""",
+)
 def mhtest(spark, d):
-    """A minibatch acceptance test: the log-likelihood difference of two weights, its error, and the decision."""
+    """A minibatch acceptance test: the whole data's log-likelihood difference as a tenth of the samples estimates it, the
+    estimate's error, and acceptance by a logistic draw. If the error is over one the batch is too small to decide."""
+    from tallyforge.functions import sampling
     from tallyforge.plans.fixtures import samples
 
-    s = samples(spark, d)
+    s = samples(spark, d).where("id % 10 = 3")
     ll = lambda w: F.ln(F.when(F.col("y") == 1, S.logistic(F.col("f1") * w)).otherwise(1 - S.logistic(F.col("f1") * w)))
-    a = s.agg(F.sum(ll(0.5) - ll(0.4)).alias("delta"), (F.stddev_samp(ll(0.5) - ll(0.4)) * F.sqrt(F.count("*"))).alias("error"))
-    return a.select(F.round("delta", 4).alias("delta"), F.round("error", 4).alias("error"), (F.col("delta") + F.col("error") * 0.5 > 0).alias("accept"))
+    a = s.agg((F.sum(ll(0.5) - ll(0.4)) * 10).alias("delta"), (10 * F.stddev_samp(ll(0.5) - ll(0.4)) * F.sqrt(F.count("*"))).alias("error"), F.count("*").alias("n"))
+    u = sampling.uniform(F.col("n"))
+    draw = F.ln(u / (1 - u))
+    return a.select(F.round("delta", 4).alias("delta"), F.round("error", 4).alias("error"), F.round(draw, 5).alias("draw"), (F.col("error") < 1).alias("decided"), (F.col("delta") + draw > 0).alias("accept"))
 
 
 @query("svd_values", None)
@@ -197,28 +221,39 @@ def ica_moments(spark, d):
     return x.groupBy((F.col("i") + 1).alias("i")).agg(*cols, F.round(F.avg(S.log_cosh(F.col("x"))), 6).alias("negentropy"))
 
 
-@query("up_cg", None)
+@query("up_cg", "SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS i, 0.0::DOUBLE AS residual")
 def up_cg(spark, d):
-    """Ridge weights by conjugate gradient on moments that Spark sums."""
+    """Ridge weights by conjugate gradient on moments that Spark sums: what is left of the normal equations, summed anew
+    over the rows, is zero."""
     import numpy as np
 
     e = dense(spark, d, 1, 8)
     _, _, g = D.moments(e, "x", 8)
     b = e.agg(*[F.sum(F.get("x", F.lit(i)) * F.col("label")).alias(f"b{i}") for i in range(8)]).first()
     w = D.conjugate_gradient(g + np.eye(8), np.array(list(b)), diagonal=np.diag(g) + 1)
-    return spark.createDataFrame([(i, round(float(x), 5)) for i, x in enumerate(w)], "i int, w double")
+    left = F.col("label") - dot(F.col("x"), F.array(*[F.lit(float(v)) for v in w]))
+    r = e.agg(F.array(*[F.sum(F.get("x", F.lit(i)) * left) - float(w[i]) for i in range(8)]).alias("r"))
+    return r.select(F.posexplode("r").alias("i", "v")).select("i", (F.round("v", 4) + 0.0).alias("residual"))
 
 
 # Embeddings and sequences ------------------------------------------------------------------------------------------
 
 
-@query("word2vec_fit", None)
+@query("word2vec_fit", f"WITH {TOKENS} SELECT tok AS word, 8 AS size, TRUE AS finite FROM tok GROUP BY tok HAVING count(*) >= 10")
 def word2vec_fit(spark, d):
+    """The library's vectors of all words seen ten times or more: a finite one of eight numbers for each."""
+    v = word_vectors(spark, d)
+    return v.select("word", F.size("v").alias("size"), F.forall("v", lambda x: ~F.isnan(x) & (F.abs(x) < 1e6)).alias("finite"))
+
+
+def word_vectors(spark, d):
+    """(word, v) of a fitted skip-gram model."""
     from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
 
-    words = table(spark, d, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
-    m = Word2Vec(vectorSize=8, minCount=50, maxIter=1, seed=1, inputCol="words", outputCol="v", numPartitions=4).fit(words)
-    return m.getVectors().select("word")
+    words = token_lists(spark, d).withColumnRenamed("toks", "words")
+    m = Word2Vec(vectorSize=8, minCount=10, maxIter=1, seed=1, inputCol="words", outputCol="v", numPartitions=4).fit(words)
+    return m.getVectors().select("word", vector_to_array("vector").alias("v"))
 
 
 @query("word2vec_negatives", f"WITH {TOKENS}, c AS (SELECT tok, count(*) AS cnt FROM tok GROUP BY tok) SELECT tok, round(pow(cnt, 0.75) / sum(pow(cnt, 0.75)) OVER (), 10) AS p, round(least(1.0, sqrt(0.001 * sum(cnt) OVER () / cnt) + 0.001 * sum(cnt) OVER () / cnt), 8) AS keep FROM c")
@@ -239,10 +274,10 @@ def word2vec_score(spark, d):
 
 @query("word2vec_hier", None)
 def word2vec_hier(spark, d):
-    """Code lengths of a Huffman tree over the commonest tokens (the tree is the model: a bounded dictionary)."""
+    """Codes of a Huffman tree over the words seen ten times or more: the tree is the model and is held by the driver."""
     from tallyforge.operators.huffman import codes
 
-    rows = [(r["tok"], r["cnt"]) for r in T.ranked(T.dictionary(tokens(spark, d))).where("rank < 1000").collect()]
+    rows = [(r["tok"], r["cnt"]) for r in T.trim(T.dictionary(tokens(spark, d)), 10).orderBy(F.desc("cnt"), "tok").collect()]
     return spark.createDataFrame([(w, c, len(c)) for w, c in codes(rows)], "tok string, code string, depth int")
 
 

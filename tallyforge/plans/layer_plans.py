@@ -196,9 +196,21 @@ def layer_slices(spark, d):
     return e.select("vec_id", F.explode(F.array(F.struct(F.lit("top").alias("part"), A.total(top).alias("s")), F.struct(F.lit("bottom").alias("part"), A.total(bottom).alias("s")))).alias("z")).select("vec_id", "z.part", F.round("z.s", 6).alias("s"))
 
 
-@query("layer_split_horiz", "SELECT CAST(vec_id // 125 AS BIGINT) AS part, count(*) AS n FROM embeddings GROUP BY 1")
+RANKED = "rnk AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM embeddings)"
+
+
+def ranked(spark, d, n=8):
+    """(vec_id, x, r): rows by their place in the table, which is what a matrix's columns are."""
+    from tallyforge.operators.ordering import row_numbers
+
+    return row_numbers(dense(spark, d, 1, n).select("vec_id", "x"), ("vec_id",), "r")
+
+
+@query("layer_split_horiz", f"WITH {LONG}, {RANKED} SELECT r // 125 AS part, r % 125 AS place, i, round(x, 7) + 0.0::DOUBLE AS x FROM lng JOIN rnk USING (vec_id) WHERE i <= 8")
 def layer_split_horiz(spark, d):
-    return dense(spark, d).groupBy(F.floor(F.col("vec_id") / 125).alias("part")).agg(F.count("*").alias("n"))
+    """A block's columns in parts of 125, each numbered anew."""
+    e = ranked(spark, d).select(F.floor(F.col("r") / 125).alias("part"), (F.col("r") % 125).alias("place"), F.posexplode("x").alias("i", "x"))
+    return e.select("part", "place", (F.col("i") + 1).alias("i"), (F.round("x", 7) + 0.0).alias("x"))
 
 
 @query("layer_stack", f"WITH {TWO} SELECT vec_id, i, round(a, 7) + 0.0::DOUBLE AS y FROM two UNION ALL SELECT vec_id, i + 8, round(b, 7) + 0.0::DOUBLE FROM two")
@@ -206,16 +218,22 @@ def layer_stack(spark, d):
     return spread(two(spark, d).select("vec_id", F.concat("a", "b").alias("y")), "y")
 
 
-@query("layer_hcat", "SELECT vec_id % 250 AS k, count(*) AS n FROM embeddings GROUP BY 1")
+@query("layer_hcat", f"WITH {LONG}, {RANKED} SELECT CASE WHEN r < 250 THEN n - 250 + r ELSE r - 250 END AS place, i, round(x, 7) + 0.0::DOUBLE AS x FROM lng JOIN rnk USING (vec_id) WHERE i <= 8")
 def layer_hcat(spark, d):
-    e = dense(spark, d)
-    return e.where("vec_id < 250").unionByName(e.where("vec_id >= 250")).groupBy((F.col("vec_id") % 250).alias("k")).agg(F.count("*").alias("n"))
+    """Two blocks side by side: the columns from the 250th on, then the first 250."""
+    e = ranked(spark, d)
+    first, second = e.where("r >= 250").withColumn("place", F.col("r") - 250), e.where("r < 250")
+    size = first.agg(F.count("*").alias("n"))
+    both = first.unionByName(second.crossJoin(F.broadcast(size)).withColumn("place", F.col("n") + F.col("r")).drop("n"))
+    return both.select("place", F.posexplode("x").alias("i", "x")).select("place", (F.col("i") + 1).alias("i"), (F.round("x", 7) + 0.0).alias("x"))
 
 
-@query("layer_colperm", "SELECT (vec_id * 7) % 500 AS place, vec_id FROM embeddings WHERE vec_id < 500")
+@query("layer_colperm", f"WITH {RANKED} SELECT (r * 7) % n AS place, vec_id FROM rnk")
 def layer_colperm(spark, d):
-    index = spark.range(500).select(((F.col("id") * 7) % 500).alias("place"), F.col("id").alias("vec_id"))
-    return dense(spark, d).join(index, "vec_id").select("place", "vec_id")
+    """All columns by an index: seven times their place, around the end (the table's size is no multiple of seven)."""
+    e = ranked(spark, d, 1)
+    n = e.agg(F.count("*").alias("n"))
+    return e.crossJoin(F.broadcast(n)).select(((F.col("r") * 7) % F.col("n")).alias("place"), "vec_id")
 
 
 @query("layer_crop", f"WITH {LONG} SELECT vec_id, i - 2 AS i, round(x, 7) + 0.0::DOUBLE AS y, round(m, 7) + 0.0::DOUBLE AS m FROM (SELECT p.vec_id, p.i, p.x, CASE WHEN p.vec_id % 2 = 0 THEN q.x ELSE p.x END AS m FROM lng p JOIN lng q ON q.vec_id = p.vec_id AND q.i = 9 - p.i) WHERE i BETWEEN 3 AND 6")

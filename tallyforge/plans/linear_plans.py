@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tallyforge.functions import special as S
 from tallyforge.operators import evaluate as E
 from tallyforge.operators import linear as L
 from tallyforge.plans.catalog import query
+from tallyforge.scratch import kept
 from tallyforge.plans.fixtures import LONG, RATINGS, SAMPLES, TOKENS, counts, dense, ratings, samples, table
 
 LABELS = "lab AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)"
@@ -143,7 +146,7 @@ SELECT doc_id, round(sum(w), 4) AS log_odds, round(1 / (1 + exp(-greatest(least(
 def naive_bayes(spark, d):
     from tallyforge.operators.classify import naive_bayes_scores, naive_bayes_weights
 
-    c = counts(spark, d)
+    c = kept(counts(spark, d), "counts")
     w = naive_bayes_weights(c.join(labels(spark, d), "doc_id"), "tok", "cnt", "quality")
     s = naive_bayes_scores(c, w, "doc_id", "tok", "cnt")
     return s.select("doc_id", F.round("log_odds", 4).alias("log_odds"), F.round(S.logistic(F.greatest(F.least("log_odds", F.lit(30.0)), F.lit(-30.0))), 4).alias("prob"))
@@ -285,15 +288,17 @@ def digamma(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.round(S.digamma(F.col("p_retailprice") / 1000.0), 4).alias("psi"))
 
 
-@query("inverse_digamma", "SELECT p_partkey AS k, round(p_retailprice / 1000.0::DOUBLE, 4) AS x FROM part")
+@query("inverse_digamma", "SELECT p_partkey AS k, round(p_retailprice / 1000.0::DOUBLE - 1.0, 3) + 0.0::DOUBLE AS y FROM part")
 def inverse_digamma(spark, d):
-    x = F.col("p_retailprice") / 1000.0
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.round(S.inverse_digamma(S.digamma(x)), 4).alias("x"))
+    """x of y, and y again as the slope of ln gamma there: no digamma is used on the way back."""
+    x = S.inverse_digamma(F.col("p_retailprice") / 1000.0 - 1.0)
+    slope = (S.lgamma(F.col("x") + 1e-4) - S.lgamma(F.col("x") - 1e-4)) / 2e-4
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), x.alias("x")).select("k", (F.round(slope, 3) + 0.0).alias("y"))
 
 
-@query("erfc", None)
+@query("erfc", "WITH v AS (SELECT p_partkey AS k, p_retailprice / 1000.0::DOUBLE - 1.0::DOUBLE AS v FROM part) SELECT k, round(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 40), lambda n: pow(-1.0::DOUBLE, n) * pow(v, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1)))), 4) AS v FROM v")
 def erfc(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.round(S.erfc(F.col("p_retailprice") / 1000.0 - 1.0), 6).alias("v"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.round(S.erfc(F.col("p_retailprice") / 1000.0 - 1.0), 4).alias("v"))
 
 
 @query(
@@ -307,14 +312,77 @@ def impurity(spark, d):
     return h.select("k", F.round(S.entropy(F.col("h")), 6).alias("entropy"), F.round(S.gini(F.col("h")), 6).alias("gini"))
 
 
-@query("murmur_mix", "SELECT o_orderkey AS k, ((((((o_orderkey * 1103515245 + 12345) % 2147483648) + o_custkey) * 1103515245 + 12345) % 2147483648) // 64) % 97 AS h FROM orders")
+_TIMES = lambda x, k: f"CAST(CAST({x} AS HUGEINT) * {k} % 4294967296 AS BIGINT)"
+_TURN = lambda x, r: f"(({x} * {2**r}) % 4294967296 + {x} // {2 ** (32 - r)})"
+
+
+def _mix_sql(source: str, h: str, k: str, out: str) -> str:
+    """Two CTEs: a hash h mixed with a key k, by products of 128 bits."""
+    return f"""{out}a AS (SELECT *, xor({h}, {_TIMES(_TURN("kk", 15), 0x1B873593)}) AS hh FROM (SELECT *, {_TIMES(k, 0xCC9E2D51)} AS kk FROM {source})),
+{out} AS (SELECT * EXCLUDE (kk, hh), ({_TIMES(_TURN("hh", 13), 5)} + {0xE6546B64}) % 4294967296 AS {out}h FROM {out}a)"""
+
+
+@query("murmur_mix", f"WITH o AS (SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders), {_mix_sql('o', 'o_orderkey', 'o_custkey', 'x')}, {_mix_sql('x', 'xh', 'price', 'y')} SELECT o_orderkey AS k, abs((CASE WHEN yh >= 2147483648 THEN yh - 4294967296 ELSE yh END) % 97) AS h FROM y")
 def murmur_mix(spark, d):
+    """The 32-bit hash by which a forest picks features: three numbers mixed, below 97."""
+    parts = [F.col("o_orderkey"), F.col("o_custkey"), F.floor("o_totalprice").cast("long")]
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), S.murmur_hash(parts, 97).alias("h"))
+
+
+@query("arithmetic_hash", "SELECT o_orderkey AS k, ((((((o_orderkey * 1103515245 + 12345) % 2147483648) + o_custkey) * 1103515245 + 12345) % 2147483648) // 64) % 97 AS h FROM orders")
+def arithmetic_hash(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), S.arithmetic_hash([F.col("o_orderkey"), F.col("o_custkey")], 97).alias("h"))
 
 
-@query("ordered_bits", "SELECT p_partkey AS k, CAST(least(greatest(floor((p_retailprice - 0) / 3000.0 * 65536), 0), 65535) AS BIGINT) AS v FROM part")
+@query("quantised", "SELECT p_partkey AS k, CAST(least(greatest(floor((p_retailprice - 0) / 3000.0 * 65536), 0), 65535) AS BIGINT) AS v FROM part")
+def quantised(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), S.quantised(F.col("p_retailprice"), 16, 0.0, 3000.0).alias("v"))
+
+
+@query(
+    "ordered_bits",
+    """WITH x AS (SELECT s_suppkey AS k, CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE) AS x FROM supplier), e AS (SELECT *, list_max(list_filter(range(-126, 128), lambda e: pow(2.0::DOUBLE, e) <= abs(x))) AS e FROM x),
+m AS (SELECT k, x, CASE WHEN e IS NULL THEN 0 ELSE (e + 127) * 8388608 + CAST((abs(x) / pow(2.0::DOUBLE, e) - 1) * 8388608 AS BIGINT) END AS m FROM e) SELECT k, CAST(((CASE WHEN x < 0 THEN -m ELSE m END) + 2147483648) // 65536 AS BIGINT) AS v FROM m""",
+)
 def ordered_bits(spark, d):
-    return table(spark, d, "part").select(F.col("p_partkey").alias("k"), S.ordered_bits(F.col("p_retailprice"), 16, 0.0, 3000.0).alias("v"))
+    """The top 16 bits of a single-precision number, in the order of the numbers."""
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), S.ordered_bits(F.col("s_acctbal").cast("double"), 16).alias("v"))
+
+
+@query("countbits", "SELECT o_orderkey AS k, CAST(bit_count(o_custkey) AS INTEGER) AS n FROM orders")
+def countbits(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.bit_count("o_custkey").cast("int").alias("n"))
+
+
+@query("pack_fields", "SELECT l_orderkey * 8 + l_linenumber AS k, l_suppkey * 1048576 + CAST(l_quantity AS BIGINT) * 1024 + l_linenumber AS packed, l_suppkey AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_linenumber AS BIGINT) AS c FROM lineitem")
+def pack_fields(spark, d):
+    """Three fields in one number, and out of it again."""
+    widths, line = [30, 10, 10], table(spark, d, "lineitem")
+    p = line.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), A.packed([F.col("l_suppkey"), F.col("l_quantity"), F.col("l_linenumber")], widths).alias("packed"))
+    return p.select("k", "packed", *[c.alias(n) for c, n in zip(A.unpacked(F.col("packed"), widths), "abc")])
+
+
+def _uni(key: str, n: str) -> str:
+    step = lambda x: f"(({x}) * 1103515245 + 12345) % 2147483648"
+    return f"(({step(f'({step(f'({key}) % 2147483648')} + ({n}) * 7919) % 2147483648')}) // 64 + 0.5::DOUBLE) / 33554432.0::DOUBLE"
+
+
+_POISSON = [sum(math.exp(-2.5) * 2.5**i / math.factorial(i) for i in range(k + 1)) for k in range(25)]
+
+
+@query(
+    "samplers",
+    f"""SELECT o_orderkey AS k, round({_uni('o_orderkey', '0')}, 8) AS u, round(sqrt(-2 * ln({_uni('o_orderkey', '0')})) * cos(2 * pi() * {_uni('o_orderkey', '1')}), 6) + 0.0::DOUBLE AS z, round(-ln({_uni('o_orderkey', '0')}) / 2.0, 6) AS e,
+round(-list_sum(list_transform(range(0, 3), lambda i: ln({_uni('o_orderkey', 'i')}))), 6) AS g, CAST(list_sum(list_transform(range(0, 8), lambda i: CASE WHEN {_uni('o_orderkey', 'i')} < 0.3 THEN 1 ELSE 0 END)) AS INTEGER) AS b,
+CAST(len(list_filter({_POISSON}::DOUBLE[], lambda c: {_uni('o_orderkey', '0')} > c)) AS INTEGER) AS p, CASE WHEN {_uni('o_orderkey', '0')} > 0.75 THEN 2 WHEN {_uni('o_orderkey', '0')} > 0.25 THEN 1 ELSE 0 END AS m FROM orders""",
+)
+def samplers(spark, d):
+    """Draws from each row's key: uniform, normal, exponential, gamma, binomial, Poisson, and a place by weights."""
+    from tallyforge.functions import sampling
+
+    k = F.col("o_orderkey")
+    r = lambda c, n: (F.round(c, 6) + 0.0).alias(n)
+    return table(spark, d, "orders").select(k.alias("k"), F.round(sampling.uniform(k), 8).alias("u"), r(sampling.normal(k), "z"), r(sampling.exponential(k, 2.0), "e"), r(sampling.gamma(k, 3), "g"), sampling.binomial(k, 8, 0.3).alias("b"), sampling.poisson(k, 2.5).alias("p"), sampling.multinomial(k, [1.0, 2.0, 1.0]).alias("m"))
 
 
 @query("array_functions", f"WITH {LONG}, p AS (SELECT a.vec_id, a.i, a.x, b.x AS y FROM lng a JOIN lng b ON a.vec_id = b.vec_id AND b.i = a.i + 4 WHERE a.i <= 4) SELECT vec_id, round(sum(x * y), 6) AS dot, round(sum(x * x), 6) AS norm2, round(sum((x - y) * (x - y)), 6) AS d2, round(sum(x) * sum(y), 6) AS kron_sum FROM p GROUP BY vec_id")

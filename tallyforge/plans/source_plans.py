@@ -123,19 +123,17 @@ def src_vw(spark, d):
     return text_formats.read_namespaces(g.select("id", line.alias("value")))
 
 
-@query("src_tfrecord", None)
+@query("src_tfrecord", "SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY 1")
 def src_tfrecord(spark, d):
-    """Framed record files written and read back: rows of regions as records."""
-    import os
-    import tempfile
+    """Framed record files, written by partition and read back with their checksums: a customer a record."""
+    from tallyforge.scratch import scratch
 
-    rows = [r[0].encode() for r in table(spark, d, "nation").select("n_name").orderBy("n_nationkey").collect()]
-    path = os.path.join(tempfile.mkdtemp(), "names.tfrecord")
-    with open(path, "wb") as f:
-        f.write(files.frame_records(rows))
-    got = spark.createDataFrame([(path, bytearray(open(path, "rb").read()))], "path string, content binary")
-    parse = F.udf(lambda b: [r.decode() for r in files.records(bytes(b))], "array<string>")
-    return got.select(F.posexplode(parse("content")).alias("place", "name"))
+    path = scratch(spark, "records")
+    rows = table(spark, d, "customer").select(F.encode(F.concat_ws("\t", "c_custkey", "c_mktsegment"), "utf-8").alias("record"))
+    files.write_records(rows, "record", path)
+    text = F.split(F.decode("record", "utf-8"), "\t")
+    back = files.read_records(spark, path).select(text[0].cast("long").alias("k"), text[1].alias("segment"))
+    return back.groupBy("segment").agg(F.count("*").alias("n"), F.sum("k").alias("keys"))
 
 
 @query("src_matfiles", "SELECT CAST(s_suppkey AS BIGINT) AS \"row\", CAST(s_nationkey AS BIGINT) AS col, CAST(s_acctbal AS DOUBLE) AS value FROM supplier")
@@ -193,10 +191,12 @@ def src_digits(spark, d):
     return text_formats.segments(table(spark, d, "events"), "event_id", F.col("event_type") == "error").groupBy("record").agg(F.count("*").alias("n"))
 
 
-@query("sink_mat", f"WITH {SAMPLES} SELECT id, f1, f2 FROM smp WHERE id <= 200")
+@query("sink_mat", f"WITH {SAMPLES} SELECT id, f1, f2 FROM smp")
 def sink_mat(spark, d):
-    """Rows collected as one block and handed back."""
-    return spark.createDataFrame(samples(spark, d).where("id <= 200").select("id", "f1", "f2").toPandas())
+    """Results gathered as one table that later steps read."""
+    from tallyforge.scratch import kept
+
+    return kept(samples(spark, d).select("id", "f1", "f2"), "sink")
 
 
 @query("sink_file", "SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders")

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import allreduce as R
 from tallyforge.plans.catalog import query
-from tallyforge.plans.model_plans import LINES, VOTES_A, VOTES_B
 from tallyforge.plans.fixtures import SAMPLES, samples, table
+from tallyforge.plans.model_plans import LINES, VOTES_A, VOTES_B
 from tallyforge.scratch import scratch
 from tallyforge.streaming.passes import RunningSums, StreamingPass, table_stream
 
@@ -138,7 +138,7 @@ def grid_changes(spark, d):
     return before.join(after, "node").groupBy((F.col("r") == F.col("grid_row")).alias("same_row"), (F.col("c") == F.col("grid_col")).alias("same_col")).agg(F.count("*").alias("n"))
 
 
-@query("model_merge_trees", f"""WITH {LINES}, v AS (SELECT sample, {VOTES_A[0]} + {VOTES_A[1]} + {VOTES_B} AS s FROM lin) SELECT sample, round(s / 3, 6) AS mean FROM v""")
+@query("model_merge_trees", f"""WITH {LINES}, v AS (SELECT sample, {VOTES_A[0]} + {VOTES_A[1]} + {VOTES_B} AS s FROM lin) SELECT sample, round(sum(s) / (3 * count(*)), 6) AS mean FROM v GROUP BY sample""")
 def model_merge_trees(spark, d):
     """The merged forest of two workers predicts by all their trees."""
     from tallyforge.operators import forest

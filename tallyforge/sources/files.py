@@ -145,6 +145,32 @@ def records(data: bytes) -> Iterator[bytes]:
         at += 16 + n
 
 
+def write_records(df: DataFrame, record: str, path: str) -> int:
+    """Record files under a path that driver and executors share, one a partition; returns the number of records. A file
+    is written under a name of its attempt and moved when it is whole, so a task run again leaves one file."""
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system.create_dir(base, recursive=True)
+        part, n = TaskContext.get().partitionId(), 0
+        draft = f"{base}/_{uuid.uuid4().hex}"
+        with system.open_output_stream(draft) as out:
+            for b in batches:
+                rows = [bytes(x) for x in b.column(0).to_pylist() if x is not None]
+                out.write(frame_records(rows))
+                n += len(rows)
+        system.move(draft, f"{base}/part-{part:06d}.tfrecord")
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    return df.select(record).mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(path, place, record) of record files."""
     schema = T.StructType([T.StructField("path", T.StringType()), T.StructField("place", T.LongType()), T.StructField("record", T.BinaryType())])
