@@ -13,6 +13,7 @@ from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,8 +104,10 @@ def kmeans(data: DataFrame, key: str, array: str, k: int, **options) -> Learner:
     def step(model, number):
         if number == 0:
             return model
-        got = {r["cid"]: r["c"] for r in cluster.update(cluster.assign(data, array, table(model)), array).collect()}  # k rows
-        return [(i, got.get(i, c)) for i, c in model]
+        new = [(i, list(c)) for i, c in model]
+        for r in cluster.lloyd_sums(data, array, np.array([c for _, c in model], float)).collect():  # k rows a coordinate
+            new[r["cid"]][1][r["i"]] = r["s"] / r["n"]
+        return new
 
     start = lambda: [(r["cid"], r["c"]) for r in cluster.first_centroids(data, key, array, k).collect()]
     return Learner(data, Options(**options), start, step, lambda m, d: cluster.assign(d, array, table(m)), lambda m: -cluster.assign(data, array, table(m)).agg(F.avg("d2")).first()[0])

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.operators.ordering import row_numbers, running_max
@@ -66,3 +68,13 @@ def grid_places(nodes: DataFrame, node: str = "node") -> DataFrame:
     n = nodes.agg(F.ceil(F.sqrt(F.count("*"))).alias("side"))
     placed = row_numbers(nodes, (node,), "place")
     return placed.crossJoin(F.broadcast(n)).select(node, F.floor(F.col("place") / F.col("side")).alias("grid_row"), F.pmod(F.col("place"), F.col("side")).alias("grid_col"))
+
+
+def replica_rounds(data: DataFrame, replica: Column, batch: Column, rounds: int, start: float, slope: Callable[[float], Column], rate: float) -> float:
+    """A weight after rounds in which every replica steps along the mean slope of its own samples of that round's batch
+    and all replicas then take their average. One aggregate a round; the driver holds a row a replica."""
+    w, marked = start, data.withColumn("__r", replica).withColumn("__b", batch)
+    for n in range(rounds):
+        steps = marked.where(F.col("__b") == n).groupBy("__r").agg(F.avg(slope(w)).alias("g"))
+        w = steps.agg(F.avg(F.lit(w) + rate * F.col("g"))).first()[0]
+    return w

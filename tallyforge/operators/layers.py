@@ -114,6 +114,16 @@ def lrn_across(x: Column, n: int, size: int = 5, alpha: float = 1.0, beta: float
     return F.array(*[one(i) for i in range(n)])
 
 
+def lrn_within(x: Column, height: int, width: int, size: int = 3, alpha: float = 1.0, beta: float = 0.75, k: float = 1.0) -> Column:
+    """Each cell of an image, held row-major, over a power of the mean square of the window around it."""
+    half, out = size // 2, []
+    for r in range(height):
+        for c in range(width):
+            near = [F.get(x, F.lit(i * width + j)) for i in range(max(0, r - half), min(height, r + half + 1)) for j in range(max(0, c - half), min(width, c + half + 1))]
+            out.append(F.get(x, F.lit(r * width + c)) / F.pow(k + (alpha / (size * size)) * sum((v * v for v in near), F.lit(0.0)), F.lit(beta)))
+    return F.array(*out)
+
+
 def dropout_predict(x: Column, keep: float) -> Column:
     return F.transform(x, lambda v: v * keep)
 

@@ -124,9 +124,10 @@ def layer_lrn_across(spark, d):
     return spread(dense(spark, d, 1, 8).select("vec_id", L.lrn_across(F.col("x"), 8).alias("y")), "y")
 
 
-@query("layer_lrn_within", f"WITH {A8} SELECT p.vec_id, p.i, round(max(p.x) / pow(1 + sum(q.x * q.x) / 3, 0.75), 7) + 0.0::DOUBLE AS y FROM e p JOIN e q ON p.vec_id = q.vec_id AND q.i BETWEEN p.i - 1 AND p.i + 1 GROUP BY p.vec_id, p.i")
+@query("layer_lrn_within", f"WITH {LONG}, p AS (SELECT vec_id, i, (i - 1) // 4 AS r, (i - 1) % 4 AS c, x FROM lng WHERE i <= 16) SELECT p.vec_id, p.i, round(max(p.x) / pow(1 + sum(q.x * q.x) / 9, 0.75), 7) + 0.0::DOUBLE AS y FROM p JOIN p q ON p.vec_id = q.vec_id AND abs(q.r - p.r) <= 1 AND abs(q.c - p.c) <= 1 GROUP BY p.vec_id, p.i")
 def layer_lrn_within(spark, d):
-    return spread(dense(spark, d, 1, 8).select("vec_id", L.lrn_across(F.col("x"), 8, 3, 1.0, 0.75, 1.0).alias("y")), "y")
+    """Over windows of three by three cells of a four by four image."""
+    return spread(dense(spark, d, 1, 16).select("vec_id", L.lrn_within(F.col("x"), 4, 4).alias("y")), "y")
 
 
 @query("layer_reduce", f"WITH {TWO}, t AS (SELECT *, max(a) OVER (PARTITION BY vec_id) AS m, min(a) OVER (PARTITION BY vec_id) AS n FROM two) SELECT vec_id, round(sum(a * b), 6) AS dot, round(sum(a), 6) AS sum, max(a) AS maxi, min(a) AS mini, min(i) FILTER (WHERE a = m) AS max_at, min(i) FILTER (WHERE a = n) AS min_at FROM t GROUP BY vec_id")

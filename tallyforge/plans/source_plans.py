@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import transform as X
 from tallyforge.plans.catalog import query
 from tallyforge.plans.fixtures import RATINGS, SAMPLES, TOKENS, counts, dense, ratings, samples, table, tokens
+from tallyforge.scratch import scratch
 from tallyforge.sources import files, text_formats
 
 HASH = "(({k} * 1103515245 + 12345) % 2147483648) % 1000 < {t}"
@@ -327,3 +328,59 @@ def sort_features(spark, d):
     return X.renumbered(t).groupBy("sample", "new_feature").agg(F.count("*").alias("value"))
 
 
+@query("src_base", f"WITH {SAMPLES}, b AS (SELECT id, f1, (row_number() OVER (ORDER BY id) - 1) // 400 AS b FROM smp) SELECT b AS batch, count(*) AS n, round(sum(f1), 6) AS s FROM b GROUP BY b UNION ALL SELECT -1, count(*), round(sum(f1), 6) FROM b WHERE b = 0")
+def src_base(spark, d):
+    """A source's batches, the first put back once, through a transformation into a sink."""
+    from tallyforge.sources.contracts import Sink, Source
+
+    source, sink, number = Source(samples(spark, d).select("id", "f1"), ("id",), 400).start(), Sink(), 0
+    first = source.next()
+    source.put_back(first)
+    sink.put(first.agg(F.lit(-1).cast("long").alias("batch"), F.count("*").alias("n"), F.round(F.sum("f1"), 6).alias("s")))
+    while source.has_next():
+        sink.put(source.next().agg(F.lit(number).cast("long").alias("batch"), F.count("*").alias("n"), F.round(F.sum("f1"), 6).alias("s")))
+        number += 1
+    return sink.table()
+
+
+@query("up_base", "WITH m AS (SELECT s_suppkey AS key, (s_suppkey % 11 - 5) / 10.0::DOUBLE AS w, (s_suppkey % 13 - 6) / 10.0::DOUBLE AS g FROM supplier) SELECT key, round(w + 0.1::DOUBLE * g + (0.9::DOUBLE * 0.1 * g + 0.1::DOUBLE * g), 6) + 0.0::DOUBLE AS w, round(0.9::DOUBLE * 0.1 * g + 0.1::DOUBLE * g, 6) + 0.0::DOUBLE AS v FROM m")
+def up_base(spark, d):
+    """Two steps of an update rule with a state of its own."""
+    from tallyforge.sources.contracts import MomentumRule
+
+    k = F.col("s_suppkey")
+    m = table(spark, d, "supplier").select(k.alias("key"), ((k % 11 - 5) / 10.0).alias("w"), ((k % 13 - 6) / 10.0).alias("g"))
+    rule, g = MomentumRule(0.1, 0.9), m.select("key", "g")
+    model = rule.start(m.select("key", "w"))
+    for number in range(2):
+        model = rule.apply(model, g, number)
+    return model.select("key", (F.round("w", 6) + 0.0).alias("w"), (F.round("v", 6) + 0.0).alias("v"))
+
+
+@query("src_nend_discover", "SELECT CAST(p AS INTEGER) AS file_no, count(*) AS n FROM (SELECT o_orderkey % 5 AS p FROM orders) WHERE p < 3 GROUP BY 1")
+def src_nend_discover(spark, d):
+    """Files 2, 3, 4 and 6 are there: reading begins at the first and ends at the gap."""
+    base, o = scratch(spark, "gaps"), table(spark, d, "orders")
+    for part, number in enumerate((2, 3, 4, 6)):
+        o.where(F.col("o_orderkey") % 5 == part).write.parquet(f"{base}/day%03d" % number)
+    return files.read_numbered(spark, f"{base}/day%03d", 0).groupBy("file_no").agg(F.count("*").alias("n"))
+
+
+@query("w2v_binary", "SELECT CAST(vec_id AS VARCHAR) AS word, CAST(len(embedding) AS INTEGER) AS dims, round(CAST(CAST(embedding[1] AS FLOAT) AS DOUBLE), 5) AS x1, round(CAST(CAST(embedding[64] AS FLOAT) AS DOUBLE), 5) AS x64 FROM embeddings")
+def w2v_binary(spark, d):
+    """Vectors through binary files and back."""
+    path = scratch(spark, "vectors")
+    files.write_binary_vectors(dense(spark, d, 1, 64), "vec_id", "x", 64, path)
+    back = files.read_binary_vectors(spark, path)
+    return back.select("word", F.size("vector").alias("dims"), *[F.round(F.get("vector", F.lit(i)).cast("double"), 5).alias(n) for i, n in ((0, "x1"), (63, "x64"))])
+
+
+@query("model_delete", "SELECT FALSE AS found, TRUE AS deleted")
+def model_delete(spark, d):
+    """A saved model that was deleted can't be read."""
+    path = scratch(spark, "gone")
+    files.save_model(path, {"k": 1}, m=table(spark, d, "region"))
+    deleted = files.delete_model(spark, path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return spark.createDataFrame([(bool(there), bool(deleted))], "found boolean, deleted boolean")

@@ -182,7 +182,7 @@ def emoticon_targets(spark, d):
 
 #: Alternatives of each lexer, long before short where one is a prefix of another.
 LEXERS = {
-    "tweet": ("documents", "doc_id", "text", r"</?[a-z][a-z0-9]*>|[0-9]+\.[0-9]+|[0-9]+|[a-z]+(?:'[a-z]+)?|:-?[()dp]|[.,!?]+"),
+    "tweet": ("documents", "doc_id", "text", r"https?://[^ \t\n<>]+|&[a-z]+;|</?[a-z][a-z0-9]*>|[@#][a-z0-9_]+|[0-9]+\.[0-9]+|[0-9]+|[a-z]+(?:'[a-z]+)?|:-?[()dp]|[.,!?]+"),
     "wiki": ("pages", "page_id", "html", r"\{\{|\}\}|={2,3}|[\[\]|=]|</?[a-z][a-z0-9]*|[0-9]+\.[0-9]+|[0-9]+|[a-z]+|[.,!?]"),
     "trec": ("documents", "doc_id", "text", r"\.[iw]\b|[0-9]+\.[0-9]+|[0-9]+|[a-z]+|[.,!?]"),
 }

@@ -13,8 +13,9 @@ from tallyforge.operators import network as N
 from tallyforge.operators import regression as G
 from tallyforge.operators.linear import pair_cross
 from tallyforge.plans.catalog import query
-from tallyforge.plans.fixtures import LONG, SAMPLES, TOKENS, dense, samples, table
+from tallyforge.plans.fixtures import LONG, RATINGS, SAMPLES, TOKENS, dense, ratings, samples, table
 from tallyforge.plans.layer_plans import TWO, spread, two
+from tallyforge.plans.linear_plans import _uni
 from tallyforge.plans.model_plans import ETA, FEATURES, NEAR, V1, V2, WEIGHTS
 
 # Sparse linear models ----------------------------------------------------------------------------------------------
@@ -67,7 +68,7 @@ def glm_sparse_heldout(spark, d):
     return score.select("target", F.round("ll", 5).alias("ll"))
 
 
-_PAIRS = " + ".join(f"{(i * 3 + j) % 5 - 2}::DOUBLE / 7 * f{i} * f{j}" for i in range(1, 4) for j in range(1, i + 1))
+_PAIRS = " + ".join(f"(sqrt({i * 3 + j}) / 10 - 0.25::DOUBLE) * f{i} * f{j}" for i in range(1, 4) for j in range(1, i + 1))
 
 
 @query("glm_pair", f"WITH {SAMPLES}, e AS (SELECT id, {_PAIRS} AS e FROM smp) SELECT id, round(e, 6) + 0.0::DOUBLE AS eta, round(1 / (1 + exp(-e)), 6) AS pred FROM e")
@@ -75,7 +76,7 @@ def glm_pair(spark, d):
     """A linear model over the products of all pairs of features."""
     s = samples(spark, d)
     long = s.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"f{i}").alias("v")) for i in (1, 2, 3)])).alias("z")).select("id", "z.*")
-    w = ((F.col("f1") * 3 + F.col("f2")) % 5 - 2) / 7.0
+    w = F.sqrt(F.col("f1") * 3 + F.col("f2")) / 10 - 0.25
     e = pair_cross(long, "id", "f", "v").groupBy("id").agg(F.sum(w * F.col("value")).alias("eta"))
     return e.select("id", (F.round("eta", 6) + 0.0).alias("eta"), F.round(logistic(F.col("eta")), 6).alias("pred"))
 
@@ -248,3 +249,81 @@ def kmeans_passes(spark, d):
     centroids = C.kmeans(e, "vec_id", "x", 4, 3)
     e.unpersist()
     return C.assign(e, "x", centroids).groupBy("cid").agg(F.count("*").alias("n"))
+
+
+@query("kmeans_init_random", f"SELECT vec_id FROM embeddings ORDER BY {_uni('vec_id', '3')}, vec_id LIMIT 4")
+def kmeans_init_random(spark, d):
+    """Four rows drawn as first centroids, by a fixed pseudo-random number of their key."""
+    from tallyforge.functions import sampling
+
+    return table(spark, d, "embeddings").orderBy(sampling.uniform(F.col("vec_id"), 3), "vec_id").limit(4).select("vec_id")
+
+
+@query("kmeansw_update", f"WITH {NEAR}, w AS (SELECT vec_id, label + 1 AS w FROM embeddings) SELECT CAST(cid AS INTEGER) AS cid, i, round(sum(x * w) / sum(w), 6) AS m, CAST(sum(w) AS DOUBLE) AS size FROM nea JOIN lng USING (vec_id) JOIN w USING (vec_id) GROUP BY ALL")
+def kmeansw_update(spark, d):
+    """Centroids and sizes by weighted samples."""
+    e = dense(spark, d, 1, 64).withColumn("w", (F.col("label") + 1).cast("double"))
+    u = C.update(C.assign(e, "x", C.first_centroids(e, "vec_id", "x", 4)), "x", "w")
+    return u.select("cid", F.posexplode("c").alias("i", "m"), F.col("n").alias("size")).select("cid", (F.col("i") + 1).alias("i"), F.round("m", 6).alias("m"), "size")
+
+
+@query("sfa_users", f"""WITH {RATINGS}, j AS (SELECT "user", rating, (1 + item % 3) / 5.0::DOUBLE AS m1, (1 + item % 5) / 5.0::DOUBLE AS m2 FROM rat),
+g AS (SELECT "user", sum(m1 * m1) + 0.5 * count(*) AS a, sum(m1 * m2) AS b, sum(m2 * m2) + 0.5 * count(*) AS c, sum(m1 * rating) AS p, sum(m2 * rating) AS q FROM j GROUP BY 1)
+SELECT "user", round((c * p - b * q) / (a * c - b * b), 5) AS u1, round((a * q - b * p) / (a * c - b * b), 5) AS u2 FROM g""")
+def sfa_users(spark, d):
+    """Users' factors against given item factors, by conjugate gradient; with two factors two steps are exact."""
+    from tallyforge.operators.embedding import factor_solve
+
+    r = ratings(spark, d)
+    items = r.select("item").distinct().select("item", F.array((1 + F.col("item") % 3) / 5.0, (1 + F.col("item") % 5) / 5.0).alias("m"))
+    s = factor_solve(r, items, 2, 0.5)
+    return s.select("user", F.round(F.get("u", F.lit(0)), 5).alias("u1"), F.round(F.get("u", F.lit(1)), 5).alias("u2"))
+
+
+_GRAMS = f"""{TOKENS}, bg AS (SELECT lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS centre, tok AS context FROM tok), pos AS (SELECT centre, context, count(*) AS n, 1.0::DOUBLE AS label FROM bg WHERE centre IS NOT NULL GROUP BY ALL),
+prs AS (SELECT * FROM pos UNION ALL SELECT context, centre, n, 0.0 FROM pos WHERE centre <> context),
+vec AS (SELECT tok, (len(tok) % 5 - 2) / 2.0::DOUBLE AS v1, (ascii(tok) % 7 - 3) / 3.0::DOUBLE AS v2, (len(tok) % 3 - 1) / 2.0::DOUBLE AS c1, (ascii(tok) % 4 - 1) / 3.0::DOUBLE AS c2 FROM (SELECT DISTINCT centre AS tok FROM prs)),
+jn AS (SELECT centre, context, n, a.v1, a.v2, b.c1, b.c2, n * (label - 1 / (1 + exp(-(a.v1 * b.c1 + a.v2 * b.c2)))) AS d FROM prs JOIN vec a ON a.tok = centre JOIN vec b ON b.tok = context),
+gv AS (SELECT centre AS tok, sum(d * c1) / sum(n) AS g1, sum(d * c2) / sum(n) AS g2 FROM jn GROUP BY 1), gc AS (SELECT context AS tok, sum(d * v1) / sum(n) AS h1, sum(d * v2) / sum(n) AS h2 FROM jn GROUP BY 1)"""
+
+
+@query("word2vec_step", f"WITH {_GRAMS} SELECT tok, round(v1 + 0.5 * coalesce(g1, 0), 6) + 0.0::DOUBLE AS v1, round(v2 + 0.5 * coalesce(g2, 0), 6) + 0.0::DOUBLE AS v2, round(c1 + 0.5 * coalesce(h1, 0), 6) + 0.0::DOUBLE AS c1, round(c2 + 0.5 * coalesce(h2, 0), 6) + 0.0::DOUBLE AS c2 FROM vec LEFT JOIN gv USING (tok) LEFT JOIN gc USING (tok)")
+def word2vec_step(spark, d):
+    """One skip-gram step over all neighbouring words (turned round, they serve as the false pairs)."""
+    from tallyforge.operators import text
+    from tallyforge.operators.embedding import skipgram_step
+    from tallyforge.plans.fixtures import token_lists
+    from tallyforge.scratch import kept
+
+    grams = kept(text.ngram_counts(token_lists(spark, d), 2), "grams").select(F.col("w1").alias("centre"), F.col("w2").alias("context"), F.col("cnt").alias("n"))
+    false = grams.where("centre <> context").select(F.col("context").alias("centre"), F.col("centre").alias("context"), "n", F.lit(0.0).alias("label"))
+    pairs = grams.withColumn("label", F.lit(1.0)).unionByName(false)
+    tok = grams.select(F.explode(F.array("centre", "context")).alias("tok")).distinct()
+    n, a = F.length("tok"), F.ascii("tok")
+    words = tok.select(F.col("tok").alias("centre"), F.array((n % 5 - 2) / 2.0, (a % 7 - 3) / 3.0).alias("v"))
+    contexts = tok.select(F.col("tok").alias("context"), F.array((n % 3 - 1) / 2.0, (a % 4 - 1) / 3.0).alias("c"))
+    v, c = skipgram_step(pairs, words, contexts, 2, 0.5)
+    both = v.join(c, v["centre"] == c["context"])
+    return both.select(F.col("centre").alias("tok"), *[(F.round(F.get(x, F.lit(i)), 6) + 0.0).alias(f"{x}{i + 1}") for x in "vc" for i in range(2)])
+
+
+@query("word2vec_tree", f"WITH {TOKENS} SELECT count(*) AS words, 1.0::DOUBLE AS kraft FROM (SELECT tok FROM tok GROUP BY tok HAVING count(*) >= 10)")
+def word2vec_tree(spark, d):
+    """The Huffman codes are a full prefix code of all known words: the sum of 2 to the minus length is one."""
+    from tallyforge.plans.factor_plans import word2vec_hier
+
+    return word2vec_hier(spark, d).agg(F.count("*").alias("words"), F.round(F.sum(F.pow(F.lit(2.0), -F.col("depth"))), 9).alias("kraft"))
+
+
+def _replica_sql(n: int) -> str:
+    return f"r{n} AS (SELECT id % 4 AS rep, any_value(w) + 0.5::DOUBLE * avg((y - 1 / (1 + exp(-w * f1))) * f1) AS w FROM smp, w{n - 1} WHERE id % 3 = {n - 1} GROUP BY 1), w{n} AS (SELECT avg(w) AS w FROM r{n})"
+
+
+@query("parlearner_rounds", f"WITH {SAMPLES}, w0 AS (SELECT 0.1::DOUBLE AS w), {_replica_sql(1)}, {_replica_sql(2)}, {_replica_sql(3)} SELECT round(w, 6) AS w FROM w3")
+def parlearner_rounds(spark, d):
+    """Four replicas take a step on a batch of their own samples, then their models are averaged: three rounds."""
+    from tallyforge.operators.allreduce import replica_rounds
+
+    slope = lambda w: (F.col("y") - logistic(F.lit(w) * F.col("f1"))) * F.col("f1")
+    w = replica_rounds(samples(spark, d), F.col("id") % 4, F.col("id") % 3, 3, 0.1, slope, 0.5)
+    return spark.createDataFrame([(round(w, 6),)], "w double")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,22 +27,24 @@ def decode_date(n: Column) -> tuple[Column, Column, Column]:
     return year, month + 1, inside - 31 * month + 1
 
 
-def numbered(spark: SparkSession, pattern: str, first: int, last: int | None = None, limit: int = 100_000) -> list[str]:
-    """Paths pattern % n for n in [first, last); without last, up to the first gap after leading gaps."""
+def numbered(spark: SparkSession, pattern: str, first: int, last: int | None = None) -> list[str]:
+    """Paths pattern % n for n in [first, last); without last, those from the first file on up to the first gap, found by
+    listing the folder once (the pattern's number stands in the last part of the path)."""
     if last is not None:
         return [pattern % n for n in range(first, last)]
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    found: list[str] = []
-    for n in range(first, first + limit):
-        p = jvm.org.apache.hadoop.fs.Path(pattern % n)
-        if p.getFileSystem(conf).exists(p):
-            found.append(pattern % n)
-        elif found:
-            break
-    if not found:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern % first)
+    folder = path.getParent()
+    names = {s.getPath().getName() for s in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)}
+    leaf = pattern.rsplit("/", 1)[1]
+    there = sorted(n for n in {int(d) for x in names for d in re.findall(r"[0-9]+", x)} if n >= first and leaf % n in names)
+    if not there:
         raise FileNotFoundError(f"no file matches {pattern}")
-    return found
+    found = [there[0]]
+    for n in there[1:]:
+        if n != found[-1] + 1:
+            break
+        found.append(n)
+    return [pattern % n for n in found]
 
 
 def read_numbered(spark: SparkSession, pattern: str, first: int, last: int | None = None, order: int = 0, seed: int = 0) -> DataFrame:
@@ -145,9 +148,10 @@ def records(data: bytes) -> Iterator[bytes]:
         at += 16 + n
 
 
-def write_records(df: DataFrame, record: str, path: str) -> int:
-    """Record files under a path that driver and executors share, one a partition; returns the number of records. A file
-    is written under a name of its attempt and moved when it is whole, so a task run again leaves one file."""
+def write_framed(df: DataFrame, path: str, suffix: str, frame: Callable[[list], bytes], head: Callable[[int], bytes] | None = None) -> int:
+    """Binary files under a path that driver and executors share, one a partition; returns the number of rows. frame turns
+    the rows of a batch (tuples) into bytes, head the number of rows into what stands first. A file is written under a
+    name of its attempt and moved when it is whole, so a task run again leaves one file."""
 
     def run(batches):
         import uuid
@@ -158,17 +162,60 @@ def write_records(df: DataFrame, record: str, path: str) -> int:
 
         system, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         system.create_dir(base, recursive=True)
-        part, n = TaskContext.get().partitionId(), 0
-        draft = f"{base}/_{uuid.uuid4().hex}"
-        with system.open_output_stream(draft) as out:
+        name, n = f"{base}/_{uuid.uuid4().hex}", 0
+        with system.open_output_stream(name) as out:
             for b in batches:
-                rows = [bytes(x) for x in b.column(0).to_pylist() if x is not None]
-                out.write(frame_records(rows))
-                n += len(rows)
-        system.move(draft, f"{base}/part-{part:06d}.tfrecord")
+                out.write(frame(list(zip(*[c.to_pylist() for c in b.columns]))))
+                n += b.num_rows
+        if head is not None:
+            with system.open_output_stream(f"{name}-whole") as out, system.open_input_stream(name) as body:
+                out.write(head(n))
+                while part := body.read(1 << 20):
+                    out.write(part)
+            system.delete_file(name)
+            name += "-whole"
+        system.move(name, f"{base}/part-{TaskContext.get().partitionId():06d}.{suffix}")
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    return df.select(record).mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+    return df.mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
+def write_records(df: DataFrame, record: str, path: str) -> int:
+    """Record files of a binary column; null records are left out."""
+    return write_framed(df.select(record).where(F.col(record).isNotNull()), path, "tfrecord", lambda rows: frame_records([bytes(r[0]) for r in rows]))
+
+
+def write_binary_vectors(df: DataFrame, word: str, vector: str, size: int, path: str) -> int:
+    """Word vectors as binary files: a line with the number of words and of coordinates, then for each word its text, a space,
+    and its coordinates in single precision, lowest byte first."""
+    import numpy as np
+
+    frame = lambda rows: b"".join(w.encode() + b" " + np.array(v, "<f4").tobytes() + b"\n" for w, v in rows)
+    rows = df.select(F.col(word).cast("string"), F.col(vector).cast("array<float>"))
+    return write_framed(rows, path, "bin", frame, lambda n: f"{n} {size}\n".encode())
+
+
+def read_binary_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(word, vector) of binary vector files."""
+
+    def run(parts):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in parts:
+            for content in pdf["content"]:
+                data = bytes(content)
+                at = data.index(b"\n") + 1
+                n, size = map(int, data[:at].split())
+                words, vectors = [], []
+                for _ in range(n):
+                    end = data.index(b" ", at)
+                    words.append(data[at:end].lstrip(b"\n").decode())
+                    vectors.append(np.frombuffer(data, "<f4", size, end + 1).tolist())
+                    at = end + 1 + 4 * size
+                yield pd.DataFrame({"word": words, "vector": vectors})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "word string, vector array<float>")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

@@ -188,7 +188,7 @@ def test_numbered_files_and_checkpoints(spark, tmp_path):
         spark.range(n).write.parquet(f"{tmp_path}/f{n}")
     assert [p[-2:] for p in files.numbered(spark, f"{tmp_path}/f%d", 0)] == ["f2", "f3"]
     with pytest.raises(FileNotFoundError):
-        files.numbered(spark, f"{tmp_path}/g%d", 0, limit=5)
+        files.numbered(spark, f"{tmp_path}/g%d", 0)
     keep = files.Checkpoints(spark, f"{tmp_path}/m", keep=2)
     for v in range(4):
         keep.save(v, {"v": v}, w=spark.range(v + 1))
