@@ -118,3 +118,21 @@ def langevin_step(ratings: DataFrame, own: DataFrame, other: DataFrame, key: str
 def mixture_posterior(x: Column, means: list[float], sd: float, which: int) -> Column:
     """Probability that x comes from one of evenly mixed Gaussian bumps."""
     return F.exp(-(x - means[which]) * (x - means[which]) / (2 * sd * sd)) / sum((F.exp(-(x - m) * (x - m) / (2 * sd * sd)) for m in means), F.lit(0.0))
+
+
+def gibbs_counts(triples: DataFrame, users: DataFrame, model: DataFrame, k: int, samples: Column | None = None, cooling: float = 1.0) -> DataFrame:
+    """(doc, n): how many tokens of a document draw each topic, every token one (or `samples` many), with chances that
+    go with (u m) to the power 1 / cooling. Draws come from the document, the term and the token's number; nothing is gathered:
+    a cell's draws are counted inside its row and added up by document."""
+    from tallyforge.functions import sampling
+
+    j = with_model(triples, model, k).join(users, "doc")
+    p = F.zip_with("u", "m", lambda a, b: F.pow(a * b, F.lit(1.0 / cooling)))
+    j = j.withColumn("p", p).withColumn("z", total(F.col("p")))
+    upto = [total(F.slice("p", 1, i + 1)) / F.col("z") for i in range(k - 1)]
+    key = F.col("doc") * 7919 + F.ascii("term") * 131 + F.length("term") * 17
+    tokens = F.sequence(F.lit(0), (F.col("s") * (samples if samples is not None else F.lit(1))).cast("int") - 1)
+    j = j.withColumn("upto", F.array(*upto)).withColumn("drawn", F.transform(tokens, lambda i: F.size(F.filter("upto", lambda c: sampling.uniform(key, i) > c))))
+    hits = lambda t: F.size(F.filter("drawn", lambda x: x == t))
+    counts = F.array(*[hits(t) for t in range(k)])
+    return j.select("doc", counts.alias("c")).groupBy("doc").agg(array_sum("c", k).alias("n"))

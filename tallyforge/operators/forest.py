@@ -12,10 +12,12 @@ from tallyforge.functions.special import arithmetic_hash
 
 def histogram(samples: DataFrame, n_features: int, draws: int, label: str) -> DataFrame:
     """(tree, node, feature, value, label, n) of samples with tree, node and xs: each node looks at `draws` features
-    that a hash of tree, node and draw picks."""
-    drawn = samples.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    that a hash of tree, node and draw picks, once each. The nodes of a level are a small table (trees times 2 to the
+    depth, times draws), which is broadcast, so that no sample is shuffled to drop a repeated draw."""
+    drawn = samples.select("tree", "node").distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     f = arithmetic_hash([F.col("tree").cast("long"), F.col("node").cast("long"), F.col("draw").cast("long")], n_features)
-    picked = drawn.withColumn("feature", f).dropDuplicates(["tree", "node", "sample", "feature"]) if draws > 1 else drawn.withColumn("feature", f)
+    looked = drawn.select("tree", "node", f.alias("feature")).distinct()
+    picked = samples.join(F.broadcast(looked), ["tree", "node"])
     return picked.withColumn("value", F.get("xs", F.col("feature").cast("int"))).groupBy("tree", "node", "feature", "value", label).agg(F.count("*").alias("n"))
 
 

@@ -122,13 +122,16 @@ def window_pairs(lists: DataFrame, reach: int, own: Column | None = None) -> Dat
 
 
 def window_pair_counts(lists: DataFrame, reach: int) -> DataFrame:
-    """(centre, context, cnt): a pair is counted once, from its first token, and then both ways."""
+    """(centre, context, cnt): a pair is met both ways equally often, so it is counted once, by its words in order, with a
+    single shuffle, and then told both ways."""
     names = [f"t{i}" for i in range(reach + 1)]
     z = lists.select(F.explode(F.arrays_zip(*[c.alias(n) for n, c in zip(names, _shifted(reach + 1))])).alias("z"))
     after = F.array(*[F.col(f"z.t{o}") for o in range(1, reach + 1)])
-    one = z.where("z.t0 is not null").select(F.col("z.t0").alias("a"), F.explode(F.array_compact(after)).alias("b")).groupBy("a", "b").agg(F.count("*").alias("cnt"))
-    both = F.array(F.struct(F.col("a").alias("centre"), F.col("b").alias("context")), F.struct(F.col("b").alias("centre"), F.col("a").alias("context")))
-    return one.select("cnt", F.explode(both).alias("p")).groupBy("p.centre", "p.context").agg(F.sum("cnt").alias("cnt"))
+    one = z.where("z.t0 is not null").select(F.col("z.t0").alias("t"), F.explode(F.array_compact(after)).alias("o"))
+    counted = one.groupBy(F.least("t", "o").alias("a"), F.greatest("t", "o").alias("b")).agg(F.count("*").alias("n"))
+    way = lambda x, y, n: F.struct(F.col(x).alias("centre"), F.col(y).alias("context"), n.alias("cnt"))
+    both = F.when(F.col("a") == F.col("b"), F.array(way("a", "b", 2 * F.col("n")))).otherwise(F.array(way("a", "b", F.col("n")), way("b", "a", F.col("n"))))
+    return counted.select(F.explode(both).alias("p")).select("p.*")
 
 
 def neighbours(lists: DataFrame, keys: tuple[str, ...], back: int = 2) -> DataFrame:

@@ -51,6 +51,14 @@ def blend(a: DataFrame, b: DataFrame, key: str, share: float) -> DataFrame:
     return a.where(hashed_share(F.col(key), share)).unionByName(b.where(~hashed_share(F.col(key), share)))
 
 
+def blend_runs(a: DataFrame, b: DataFrame, place: str, block: int, share: float, keep_a: float = 1.0, keep_b: float = 1.0) -> DataFrame:
+    """Runs of `block` rows, by place: a hash of the run's number says whether it comes from a (with the given share) or from
+    b, another whether it is taken at all."""
+    run = F.floor(F.col(place) / block).cast("long")
+    from_a = hashed_share(run, share)
+    return a.where(from_a & hashed_share(run + 104729, keep_a)).unionByName(b.where(~from_a & hashed_share(run + 224737, keep_b)))
+
+
 def sparse(df: DataFrame, row: str, col: str, value: Column) -> DataFrame:
     """(row, col, value) with duplicates added up."""
     return df.groupBy(row, col).agg(F.sum(value).alias("value"))

@@ -85,32 +85,31 @@ def lda_topics(spark, d):
     return rows.select("topic", F.col("z.termIndices").alias("term"), F.col("z.termWeights").alias("weight"))
 
 
-@query("lda_gibbs", None)
-def lda_gibbs(spark, d):
-    """Topic counts by sampling: each document's tokens draw topics from the current factors, by a seed of its id."""
-    import numpy as np
+_KEY = "doc * 7919 + ascii(term) * 131 + len(term) * 17"
+_P1 = lambda power: f"pow(m1, {power}) / (pow(m1, {power}) + pow(m2, {power}))"
+
 
+def _gibbs_sql(samples: str, power: float) -> str:
+    draw = linear_plans._uni("k", "i")
+    return f"WITH {TRI}, c AS (SELECT doc, {_KEY} AS k, {_P1(power)} AS p1, CAST(s AS BIGINT) * {samples} AS s FROM tri JOIN mdl USING (term)), n AS (SELECT doc, s, len(list_filter(range(0, s), lambda i: {draw} <= p1)) AS n1 FROM c) SELECT doc, CAST(sum(n1) AS BIGINT) AS n1, CAST(sum(s - n1) AS BIGINT) AS n2 FROM n GROUP BY doc"
+
+
+def _gibbs(spark, d, samples=None, cooling=1.0):
     t = triples(spark, d)
-    j = t.join(topic_model(t), "term").groupBy("doc").agg(F.collect_list(F.struct("s", "m")).alias("cells"))
+    n = X.gibbs_counts(t, X.start_users(t, 2), topic_model(t), 2, samples, cooling)
+    return n.select("doc", F.get("n", F.lit(0)).alias("n1"), F.get("n", F.lit(1)).alias("n2"))
 
-    def run(parts):
-        import pandas as pd
 
-        for pdf in parts:
-            rows = []
-            for doc, cells in zip(pdf["doc"], pdf["cells"]):
-                rng = np.random.default_rng(int(doc))
-                m = np.array([list(c["m"]) for c in cells])
-                s = np.array([c["s"] for c in cells], np.int64)
-                theta = np.ones(m.shape[1])
-                for _ in range(3):
-                    p = m * theta
-                    n = rng.multinomial(s, p / p.sum(axis=1, keepdims=True)).sum(axis=0)
-                    theta = rng.dirichlet(n + 0.3)
-                rows.append((doc, int(n[0]), int(n[1])))
-            yield pd.DataFrame(rows, columns=["doc", "n1", "n2"])
+@query("lda_gibbs", _gibbs_sql("1", 0.5))
+def lda_gibbs(spark, d):
+    """Topic counts by sampling, cooled to half: a topic for each token, drawn from the current factors."""
+    return _gibbs(spark, d, cooling=2.0)
 
-    return j.mapInPandas(run, "doc long, n1 long, n2 long")
+
+@query("lda_gibbs_v", _gibbs_sql("(1 + len(term) % 3)", 1.0))
+def lda_gibbs_v(spark, d):
+    """The same with a number of samples for each feature."""
+    return _gibbs(spark, d, samples=F.lit(1) + F.length("term") % 3)
 
 
 @query("nmf", f"WITH {TRI}, g AS (SELECT sum(m1 * m1) AS g11, sum(m1 * m2) AS g12, sum(m2 * m2) AS g22 FROM mdl), p AS (SELECT doc, sum(s * m1) AS p1, sum(s * m2) AS p2 FROM tri JOIN mdl USING (term) GROUP BY doc) SELECT doc, round(greatest(0.1, least(10.0, p1 / (g11 + 0.01 + g12))), 5) AS a, round(greatest(0.1, least(10.0, p2 / (g12 + g22 + 0.01))), 5) AS b FROM p, g")
@@ -314,6 +313,22 @@ def seq2seq_oov(spark, d):
     return T.map_ids(t, F.broadcast(known), 1000).select("doc_id", "pos", "id")
 
 
+@query("attention_heads", " UNION ALL ".join(f"(WITH e AS (SELECT vec_id // 8 AS seq, vec_id, CAST(generate_subscripts(embedding, 1) AS INTEGER) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), s AS (SELECT a.vec_id AS q, b.vec_id AS k, sum(a.x * b.x) / sqrt(2.0::DOUBLE) AS s FROM e a JOIN e b ON a.seq = b.seq AND a.i = b.i WHERE a.i IN ({2 * h + 1}, {2 * h + 2}) AND b.vec_id <= a.vec_id GROUP BY ALL), w AS (SELECT q, k, exp(s) / sum(exp(s)) OVER (PARTITION BY q) AS w FROM s) SELECT q, {h} AS head, round(sum(w * x), 6) + 0.0::DOUBLE AS y FROM w JOIN e ON e.vec_id = k WHERE e.i = {7 + h} GROUP BY q)" for h in range(3)))
+def attention_heads(spark, d):
+    """Causal attention of sequences of eight with three heads of two coordinates; head h's value is coordinate 7 + h."""
+    e = dense(spark, d, 1, 9).select(F.floor(F.col("vec_id") / 8).alias("seq"), "vec_id", "x")
+    keys = e.groupBy("seq").agg(F.collect_list(F.struct("vec_id", "x")).alias("ks"))  # a sequence's eight rows
+    j = e.join(keys, "seq").select(F.col("vec_id").alias("q"), "x", F.filter("ks", lambda k: k["vec_id"] <= F.col("vec_id")).alias("ks"))
+
+    def head(h):
+        own = F.slice("x", 2 * h + 1, 2)
+        w = F.transform("ks", lambda k: F.struct(F.exp(dot(own, F.slice(k["x"], 2 * h + 1, 2)) / F.sqrt(F.lit(2.0))).alias("w"), F.get(k["x"], F.lit(6 + h)).alias("v")))
+        z = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["w"])
+        return F.struct(F.lit(h).alias("head"), (F.round(F.aggregate(w, F.lit(0.0), lambda a, x: a + x["w"] * x["v"]) / z, 6) + 0.0).alias("y"))
+
+    return j.select("q", F.explode(F.array(*[head(h) for h in range(3)])).alias("z")).select("q", "z.*")
+
+
 @query("next_word_pairs", f"WITH {TOKENS}, p AS (SELECT tok AS word, lead(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS nxt FROM tok), c AS (SELECT word, nxt, count(*) AS n FROM p WHERE nxt IS NOT NULL GROUP BY ALL) SELECT word, nxt, n FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY n DESC, nxt) AS k FROM c) WHERE k = 1")
 def next_word_pairs(spark, d):
     """The commonest next word of each word."""

@@ -384,3 +384,14 @@ def model_delete(spark, d):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
     return spark.createDataFrame([(bool(there), bool(deleted))], "found boolean, deleted boolean")
+
+
+_HASHED = lambda run, share: f"(({run}) * 1103515245 + 12345) % 2147483648 % 1000 < {int(share * 1000)}"
+
+
+@query("src_blend_runs", f"WITH p AS (SELECT event_id, event_id // 50 AS run FROM events) SELECT CASE WHEN {_HASHED('run', 0.6)} THEN 'a' ELSE 'b' END AS source, run, count(*) AS n FROM p WHERE CASE WHEN {_HASHED('run', 0.6)} THEN {_HASHED('run + 104729', 0.9)} ELSE {_HASHED('run + 224737', 0.5)} END GROUP BY ALL")
+def src_blend_runs(spark, d):
+    """Two sources in runs of fifty: six runs of ten from the first, of which nine tenths are taken, of the second's half."""
+    e = table(spark, d, "events").select("event_id")
+    mixed = X.blend_runs(e.withColumn("source", F.lit("a")), e.withColumn("source", F.lit("b")), "event_id", 50, 0.6, 0.9, 0.5)
+    return mixed.groupBy("source", F.floor(F.col("event_id") / 50).cast("long").alias("run")).agg(F.count("*").alias("n"))

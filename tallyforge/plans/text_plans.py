@@ -180,6 +180,28 @@ def emoticon_targets(spark, d):
     return found.join(F.broadcast(classes), "mark").groupBy("doc_id", "class").agg(F.count("*").alias("cnt"))
 
 
+_CLASS = "CASE WHEN contains(w, '%%%') OR contains(w, '$$$') OR contains(w, '&&&') THEN 3 WHEN contains(w, '***') OR contains(w, '###') THEN 2 WHEN contains(w, '!!') THEN 1 ELSE 0 END"
+
+
+@query(
+    "emoticon_ngrams",
+    rf"""WITH w AS (SELECT doc_id, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(lower(text), '[^ \t\n]+') AS l FROM documents)),
+c AS (SELECT doc_id, pos, {_CLASS} AS c FROM w), g AS (SELECT doc_id, greatest(c, lag(c) OVER (PARTITION BY doc_id ORDER BY pos)) AS c, lag(c) OVER (PARTITION BY doc_id ORDER BY pos) AS p FROM c) SELECT doc_id, c AS class, count(*) AS cnt FROM g WHERE p IS NOT NULL AND c > 0 GROUP BY ALL""",
+)
+def emoticon_ngrams(spark, d):
+    """Bigrams by class of feeling: one inherits the largest class of its words."""
+    level = {m: n + 1 for n, marks in enumerate(FEELINGS.values()) for m in marks}
+
+    def of(w):
+        out = F.lit(0)
+        for m, n in level.items():  # in rising order, so that the largest class found stays
+            out = F.when(F.contains(w, F.lit(m)), n).otherwise(out)
+        return out
+
+    g = X.ngrams(X.token_lists(table(spark, d, "documents"), "text", ("doc_id",), "[^ \\t\\n]+"), 2, ("doc_id",))
+    return g.select("doc_id", F.greatest(of(F.col("w1")), of(F.col("w2"))).alias("class")).where("class > 0").groupBy("doc_id", "class").agg(F.count("*").alias("cnt"))
+
+
 #: Alternatives of each lexer, long before short where one is a prefix of another.
 LEXERS = {
     "tweet": ("documents", "doc_id", "text", r"https?://[^ \t\n<>]+|&[a-z]+;|</?[a-z][a-z0-9]*>|[@#][a-z0-9_]+|[0-9]+\.[0-9]+|[0-9]+|[a-z]+(?:'[a-z]+)?|:-?[()dp]|[.,!?]+"),

@@ -282,12 +282,12 @@ def sfa_users(spark, d):
 
 _GRAMS = f"""{TOKENS}, bg AS (SELECT lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS centre, tok AS context FROM tok), pos AS (SELECT centre, context, count(*) AS n, 1.0::DOUBLE AS label FROM bg WHERE centre IS NOT NULL GROUP BY ALL),
 prs AS (SELECT * FROM pos UNION ALL SELECT context, centre, n, 0.0 FROM pos WHERE centre <> context),
-vec AS (SELECT tok, (len(tok) % 5 - 2) / 2.0::DOUBLE AS v1, (ascii(tok) % 7 - 3) / 3.0::DOUBLE AS v2, (len(tok) % 3 - 1) / 2.0::DOUBLE AS c1, (ascii(tok) % 4 - 1) / 3.0::DOUBLE AS c2 FROM (SELECT DISTINCT centre AS tok FROM prs)),
+vec AS (SELECT tok, (len(tok) % 5 - 2) / 2.3::DOUBLE AS v1, (ascii(tok) % 7 - 3) / 3.1::DOUBLE AS v2, (len(tok) % 3 - 1) / 1.7::DOUBLE AS c1, (ascii(tok) % 4 - 1) / 2.9::DOUBLE AS c2 FROM (SELECT DISTINCT centre AS tok FROM prs)),
 jn AS (SELECT centre, context, n, a.v1, a.v2, b.c1, b.c2, n * (label - 1 / (1 + exp(-(a.v1 * b.c1 + a.v2 * b.c2)))) AS d FROM prs JOIN vec a ON a.tok = centre JOIN vec b ON b.tok = context),
 gv AS (SELECT centre AS tok, sum(d * c1) / sum(n) AS g1, sum(d * c2) / sum(n) AS g2 FROM jn GROUP BY 1), gc AS (SELECT context AS tok, sum(d * v1) / sum(n) AS h1, sum(d * v2) / sum(n) AS h2 FROM jn GROUP BY 1)"""
 
 
-@query("word2vec_step", f"WITH {_GRAMS} SELECT tok, round(v1 + 0.5 * coalesce(g1, 0), 6) + 0.0::DOUBLE AS v1, round(v2 + 0.5 * coalesce(g2, 0), 6) + 0.0::DOUBLE AS v2, round(c1 + 0.5 * coalesce(h1, 0), 6) + 0.0::DOUBLE AS c1, round(c2 + 0.5 * coalesce(h2, 0), 6) + 0.0::DOUBLE AS c2 FROM vec LEFT JOIN gv USING (tok) LEFT JOIN gc USING (tok)")
+@query("word2vec_step", f"WITH {_GRAMS} SELECT tok, round(v1 + 0.37 * coalesce(g1, 0), 5) + 0.0::DOUBLE AS v1, round(v2 + 0.37 * coalesce(g2, 0), 5) + 0.0::DOUBLE AS v2, round(c1 + 0.37 * coalesce(h1, 0), 5) + 0.0::DOUBLE AS c1, round(c2 + 0.37 * coalesce(h2, 0), 5) + 0.0::DOUBLE AS c2 FROM vec LEFT JOIN gv USING (tok) LEFT JOIN gc USING (tok)")
 def word2vec_step(spark, d):
     """One skip-gram step over all neighbouring words (turned round, they serve as the false pairs)."""
     from tallyforge.operators import text
@@ -300,11 +300,11 @@ def word2vec_step(spark, d):
     pairs = grams.withColumn("label", F.lit(1.0)).unionByName(false)
     tok = grams.select(F.explode(F.array("centre", "context")).alias("tok")).distinct()
     n, a = F.length("tok"), F.ascii("tok")
-    words = tok.select(F.col("tok").alias("centre"), F.array((n % 5 - 2) / 2.0, (a % 7 - 3) / 3.0).alias("v"))
-    contexts = tok.select(F.col("tok").alias("context"), F.array((n % 3 - 1) / 2.0, (a % 4 - 1) / 3.0).alias("c"))
-    v, c = skipgram_step(pairs, words, contexts, 2, 0.5)
+    words = tok.select(F.col("tok").alias("centre"), F.array((n % 5 - 2) / 2.3, (a % 7 - 3) / 3.1).alias("v"))
+    contexts = tok.select(F.col("tok").alias("context"), F.array((n % 3 - 1) / 1.7, (a % 4 - 1) / 2.9).alias("c"))
+    v, c = skipgram_step(pairs, words, contexts, 2, 0.37)
     both = v.join(c, v["centre"] == c["context"])
-    return both.select(F.col("centre").alias("tok"), *[(F.round(F.get(x, F.lit(i)), 6) + 0.0).alias(f"{x}{i + 1}") for x in "vc" for i in range(2)])
+    return both.select(F.col("centre").alias("tok"), *[(F.round(F.get(x, F.lit(i)), 5) + 0.0).alias(f"{x}{i + 1}") for x in "vc" for i in range(2)])
 
 
 @query("word2vec_tree", f"WITH {TOKENS} SELECT count(*) AS words, 1.0::DOUBLE AS kraft FROM (SELECT tok FROM tok GROUP BY tok HAVING count(*) >= 10)")
