@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_MODULUS = 1 << 31
-
-
-def _step(x: Column) -> Column:
-    return F.pmod(x * F.lit(1103515245) + F.lit(12345), F.lit(_MODULUS))
-
 
 def uniform(key: Column, number: Column | int = 0) -> Column:
-    """In (0, 1): two steps of a linear congruence from the key, the draw's number in between."""
+    """In (0, 1): 32 bits of a digest of the key and the draw's number, so that draws of one key are as unrelated as those
+    of different keys."""
     n = F.lit(number) if isinstance(number, int) else number
-    first = _step(F.pmod(key.cast("long"), F.lit(_MODULUS)))
-    return (F.floor(_step(F.pmod(first + n * 7919, F.lit(_MODULUS))) / 64) + 0.5) / F.lit(float(_MODULUS // 64))
+    digest = F.md5(F.concat_ws(":", key.cast("string"), n.cast("string")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
 
 
 def normal(key: Column, number: int = 0) -> Column:

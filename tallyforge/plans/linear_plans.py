@@ -363,8 +363,8 @@ def pack_fields(spark, d):
 
 
 def _uni(key: str, n: str) -> str:
-    step = lambda x: f"(({x}) * 1103515245 + 12345) % 2147483648"
-    return f"(({step(f'({step(f'({key}) % 2147483648')} + ({n}) * 7919) % 2147483648')}) // 64 + 0.5::DOUBLE) / 33554432.0::DOUBLE"
+    """The draw number n of a key: 32 bits of a digest, in (0, 1)."""
+    return f"((CAST('0x' || substr(md5(CAST(({key}) AS VARCHAR) || ':' || CAST(({n}) AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
 _POISSON = [sum(math.exp(-2.5) * 2.5**i / math.factorial(i) for i in range(k + 1)) for k in range(25)]
