@@ -15,11 +15,12 @@ def current(messages: DataFrame, lag: int) -> DataFrame:
     return running_max(messages, ("arrival",), "round", "__newest").where(F.col("round") >= F.col("__newest") - lag).drop("__newest")
 
 
-def reduced(messages: DataFrame, workers: int, threshold: float = 1.0, kind: str = "average") -> DataFrame:
+def reduced(messages: DataFrame, workers: int, threshold: float = 1.0, kind: str | Callable[[Column], Column] = "average") -> DataFrame:
     """(round, chunk, value, n) of chunks that reached their threshold of distinct workers. The average is by the number
-    of workers that did contribute."""
+    of workers that did contribute; a reducer of one's own is any aggregate of the value."""
     one = messages.groupBy("round", "chunk", "worker").agg(F.first("value").alias("value"))
-    r = one.groupBy("round", "chunk").agg(F.sum("value").alias("s"), F.count("*").alias("n")).where(F.col("n") >= max(1, int(threshold * workers)))
+    reduce = kind if callable(kind) else F.sum
+    r = one.groupBy("round", "chunk").agg(reduce(F.col("value")).alias("s"), F.count("*").alias("n")).where(F.col("n") >= max(1, int(threshold * workers)))
     return r.select("round", "chunk", (F.col("s") / F.col("n") if kind == "average" else F.col("s")).alias("value"), "n")
 
 

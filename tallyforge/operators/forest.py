@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,14 +22,20 @@ def histogram(samples: DataFrame, n_features: int, draws: int, label: str) -> Da
     return picked.withColumn("value", F.get("xs", F.col("feature").cast("int"))).groupBy("tree", "node", "feature", "value", label).agg(F.count("*").alias("n"))
 
 
-def _impurity(counts: list[Column], total: Column, kind: str) -> Column:
+#: An impurity of one's own: from the counts of the classes and their sum, the impurity times that sum.
+Impurity = Callable[[list[Column], Column], Column]
+
+
+def _impurity(counts: list[Column], total: Column, kind: str | Impurity) -> Column:
+    if callable(kind):
+        return kind(counts, total)
     if kind == "gini":
         return total - sum((c * c for c in counts), F.lit(0.0)) / total
     s = sum((F.when(c > 0, c * F.ln(c)).otherwise(0.0) for c in counts), F.lit(0.0))
     return total * F.ln(total) - s
 
 
-def splits(hist: DataFrame, label: str, classes: list, kind: str = "entropy") -> DataFrame:
+def splits(hist: DataFrame, label: str, classes: list, kind: str | Impurity = "entropy") -> DataFrame:
     """(tree, node, feature, threshold, gain) of the best split of each node: value <= threshold goes left. Gain is the
     mean impurity that the split takes away; of equal gains the smallest feature and threshold. One window over the
     distinct values of a feature, with the classes side by side."""
@@ -61,7 +68,7 @@ def step(samples: DataFrame, nodes: DataFrame) -> DataFrame:
     return j.withColumn("node", go).drop("__f", "__t")
 
 
-def grow(samples: DataFrame, n_features: int, label: str, classes: list, trees: int = 2, depth: int = 3, draws: int = 2, least_gain: float = 0.01, kind: str = "entropy") -> tuple[DataFrame, DataFrame]:
+def grow(samples: DataFrame, n_features: int, label: str, classes: list, trees: int = 2, depth: int = 3, draws: int = 2, least_gain: float = 0.01, kind: str | Impurity = "entropy") -> tuple[DataFrame, DataFrame]:
     """(inner nodes, leaf labels) of a forest grown level by level; samples: (sample, xs, label). Each tree sees the rows
     that a hash of tree and sample keeps (two of three)."""
     spark = samples.sparkSession

@@ -214,6 +214,24 @@ def rf_split(spark, d):
     return R.splits(h, "label", ["A", "N", "R"]).withColumn("gain", F.round("gain", 6))
 
 
+_MISS = lambda a, n: f"({n} - greatest({', '.join(a)}))"
+
+
+@query(
+    "rf_split_custom",
+    f"""WITH h AS (SELECT l_linenumber AS node, l_quantity AS value, CAST(count(*) FILTER (WHERE l_returnflag = 'A') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE l_returnflag = 'N') AS DOUBLE) AS n, CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS r FROM lineitem GROUP BY ALL),
+w AS (SELECT node, value, sum(a) OVER u AS la, sum(n) OVER u AS ln_, sum(r) OVER u AS lr, sum(a) OVER t AS ta, sum(n) OVER t AS tn, sum(r) OVER t AS tr FROM h WINDOW u AS (PARTITION BY node ORDER BY value), t AS (PARTITION BY node)),
+x AS (SELECT *, la + ln_ + lr AS nl, ta + tn + tr AS nt FROM w),
+g AS (SELECT node, value, round(({_MISS(['ta', 'tn', 'tr'], 'nt')} - {_MISS(['la', 'ln_', 'lr'], 'nl')} - {_MISS(['(ta - la)', '(tn - ln_)', '(tr - lr)'], '(nt - nl)')}) / nt, 9) AS gain FROM x WHERE nl < nt),
+k AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, value) AS k FROM g)
+SELECT 0 AS tree, CAST(node AS BIGINT) AS node, CAST(0 AS BIGINT) AS feature, value AS threshold, round(gain, 6) AS gain FROM k WHERE k = 1""",
+)
+def rf_split_custom(spark, d):
+    """Splits by an impurity of one's own: the share that a majority vote gets wrong."""
+    h = table(spark, d, "lineitem").groupBy(F.lit(0).alias("tree"), F.col("l_linenumber").cast("long").alias("node"), F.lit(0).cast("long").alias("feature"), F.col("l_quantity").alias("value"), F.col("l_returnflag").alias("label")).agg(F.count("*").alias("n"))
+    return R.splits(h, "label", ["A", "N", "R"], lambda counts, total: total - F.greatest(*counts)).withColumn("gain", F.round("gain", 6))
+
+
 @query("rf_walk", "SELECT CASE WHEN l_quantity > 25 THEN CASE WHEN l_tax > 0.04 THEN 3 ELSE 2 END ELSE CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END END AS leaf, l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY ALL")
 def rf_walk(spark, d):
     x = table(spark, d, "lineitem").select(R.literal_walk(F.array("l_quantity", "l_discount", "l_tax"), TREE).alias("leaf"), F.col("l_returnflag").alias("label"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tallyforge.operators import allreduce as R
@@ -22,6 +24,33 @@ def st_minibatch(spark, d):
     return sums.read(spark).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("cents").alias("cents"))
 
 
+def _stream_sql(n: int) -> str:
+    g = [f"avg((y - 1 / (1 + exp(-(any0 * f1 + any1)))) * {x})" for x in ("f1", "1.0::DOUBLE")]
+    return f"b{n} AS (SELECT y, f1, w0 AS any0, w1 AS any1 FROM smp, m{n - 1} WHERE id % 3 = {n - 1}), m{n} AS (SELECT any_value(any0) + 0.5::DOUBLE * {g[0]} AS w0, any_value(any1) + 0.5::DOUBLE * {g[1]} AS w1 FROM b{n})"
+
+
+@query("st_train", f"WITH {SAMPLES}, m0 AS (SELECT 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1), {_stream_sql(1)}, {_stream_sql(2)}, {_stream_sql(3)} SELECT round(w0, 6) AS w0, round(w1, 6) AS w1 FROM m3")
+def st_train(spark, d):
+    """A logistic model learns from three micro-batches in turn, one gradient step each."""
+    from tallyforge.functions.special import logistic
+    from tallyforge.streaming.passes import StreamingTrainer
+
+    base = scratch(spark, "train")
+    s = samples(spark, d).select("id", "f1", "y", (F.col("id") % 3).alias("b"))
+    for b in range(3):  # one file a batch; a stream takes the older file first
+        s.where(F.col("b") == b).drop("b").coalesce(1).write.mode("append").parquet(f"{base}/in")
+        time.sleep(0.05)
+
+    def step(w, batch, number):
+        slope = F.col("y") - logistic(F.lit(w[0]) * F.col("f1") + F.lit(w[1]))
+        g = batch.agg(F.avg(slope * F.col("f1")).alias("a"), F.avg(slope).alias("b")).first()
+        return [w[0] + 0.5 * g["a"], w[1] + 0.5 * g["b"]]
+
+    stream = spark.readStream.schema("id long, f1 double, y int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    w = StreamingTrainer(spark, f"{base}/models", [0.0, 0.0], step).run(stream)
+    return spark.createDataFrame([(round(w[0], 6), round(w[1], 6))], "w0 double, w1 double")
+
+
 @query("st_iterator_pass", "SELECT count(*) AS n, round(sum(value), 2) AS s FROM events")
 def st_iterator_pass(spark, d):
     """A pass that is fed by iterators of blocks, one result a partition, summed."""
@@ -73,6 +102,13 @@ def allreduce_sum(spark, d):
     return R.reduced(m, 4, kind="sum").select("round", "chunk", "value")
 
 
+@query("allreduce_custom", f"WITH {MESSAGES}, one AS (SELECT round, chunk, worker, sum(value) AS value FROM msg GROUP BY ALL) SELECT round, chunk, CAST(max(value) - min(value) AS BIGINT) AS value, count(*) AS n FROM one GROUP BY ALL HAVING count(*) >= 2")
+def allreduce_custom(spark, d):
+    """A reducer of one's own: how far the workers are apart, of chunks that half of them have sent."""
+    m = messages(spark, d).groupBy("round", "chunk", "worker").agg(F.sum("value").alias("value"))
+    return R.reduced(m, 4, 0.5, lambda v: F.max(v) - F.min(v))
+
+
 @query("allreduce_fill", f"WITH {_ONE}, own AS (SELECT DISTINCT round, chunk FROM msg) SELECT own.round, own.chunk, round(coalesce(s / CAST(n AS DOUBLE), own.round * 10.0), 6) AS value, s IS NOT NULL AS reduced FROM own LEFT JOIN red USING (round, chunk)")
 def allreduce_fill(spark, d):
     m = messages(spark, d).groupBy("round", "chunk", "worker").agg(F.sum("value").alias("value"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh path under spark.checkpoint.dir, or under a local folder where the session names none."""
+    """A fresh path under spark.checkpoint.dir; under a local folder only on a local master that names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tallyforge-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/tallyforge-plans/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

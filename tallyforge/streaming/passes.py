@@ -50,3 +50,32 @@ class RunningSums:
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(self.path)
+
+
+class StreamingTrainer:
+    """A model that learns from each micro-batch: step(model, batch, number) gives the next one. Every version is written
+    under its batch's id before the batch counts as done, and a batch starts from the version before it; so a batch that
+    comes again after a failure is learned from once. The model is a list of numbers, kept as a small table."""
+
+    def __init__(self, spark: SparkSession, path: str, start: list[float], step: Callable[[list[float], DataFrame, int], list[float]]):
+        self.spark, self.path, self.step = spark, path, step
+        self._save(-1, start)
+
+    def _save(self, number: int, model: list[float]) -> None:
+        rows = self.spark.createDataFrame([(i, float(v)) for i, v in enumerate(model)], "place int, value double")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/model-{number}")
+
+    def load(self, number: int) -> list[float]:
+        return [r["value"] for r in self.spark.read.parquet(f"{self.path}/model-{number}").orderBy("place").collect()]
+
+    def run(self, stream: DataFrame) -> list[float]:
+        """The model after all batches that are there."""
+        last = -1
+
+        def fold(batch: DataFrame, number: int) -> None:
+            nonlocal last
+            self._save(number, self.step(self.load(number - 1), batch, number))
+            last = number
+
+        StreamingPass(stream, fold, f"{self.path}/checkpoint").finish()
+        return self.load(last)
