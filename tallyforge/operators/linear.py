@@ -25,14 +25,24 @@ def sddmm(triples: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return j.withColumn("dot", F.aggregate(F.zip_with("l", "r", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)).drop("l", "r")
 
 
-def pair_cross(triples: DataFrame, sample: str, feature: str, value: str, with_self: bool = True) -> DataFrame:
-    """(sample, f1, f2, value) for pairs f1 >= f2 of a sample's features: the features travel once, as one sorted array
-    a sample, and pairs are made inside the row."""
-    rows = triples.groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).alias("v")))).alias("fs"))
-    keep = (lambda a, b: a["f"] >= b["f"]) if with_self else (lambda a, b: a["f"] > b["f"])
-    one = rows.select(sample, "fs", F.explode("fs").alias("a"))
-    both = one.select(sample, "a", F.explode(F.filter("fs", lambda b: keep(F.col("a"), b))).alias("b"))
-    return both.select(sample, F.col("a.f").alias("f1"), F.col("b.f").alias("f2"), (F.col("a.v") * F.col("b.v")).alias("value"))
+#: Features of a sample that one group holds; a sample with more is crossed by pairs of blocks of half as many.
+CROSS = 1024
+
+
+def pair_cross(triples: DataFrame, sample: str, feature: str, value: str, with_self: bool = True, most: int = CROSS) -> DataFrame:
+    """(sample, f1, f2, value) for pairs f1 >= f2 of a sample's features: the features travel as one sorted array a sample, and
+    pairs are made inside the row. A sample with more than `most` features is dealt by pairs of blocks, so that no group
+    is larger, and every pair is still made once: within a block, or between two."""
+    t = triples.select(F.col(sample).alias("s"), F.struct(F.col(feature).alias("f"), F.col(value).alias("v")).alias("x"))
+    sizes = t.groupBy("s").agg(F.ceil(F.count("*") / F.lit(most / 2)).cast("int").alias("k"))
+    dealt = t.join(sizes, "s").withColumn("k", F.when(F.col("k") <= 2, 1).otherwise(F.col("k")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("x.f"), F.col("k").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    groups = dealt.groupBy("s", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b")).agg(F.array_sort(F.collect_list(F.struct(F.col("x.f").alias("f"), F.col("x.v").alias("v"), F.col("own").alias("o")))).alias("fs"))
+    one = groups.select("s", "a", "b", "fs", F.explode("fs").alias("p"))
+    larger = (lambda q: F.col("p.f") >= q["f"]) if with_self else (lambda q: F.col("p.f") > q["f"])
+    across = lambda q: (F.col("a") == F.col("b")) | (q["o"] != F.col("p.o"))
+    both = one.select("s", "p", F.explode(F.filter("fs", lambda q: larger(q) & across(q))).alias("q"))
+    return both.select(F.col("s").alias(sample), F.col("p.f").alias("f1"), F.col("q.f").alias("f2"), (F.col("p.v") * F.col("q.v")).alias("value"))
 
 
 def select_row(df: DataFrame, array: str, index: str) -> DataFrame:

@@ -55,11 +55,14 @@ def lda_loglik(spark, d):
     return X.lda_loglik(t, X.lda_user_step(t, X.start_users(t, 2), m, 2, 0.01), m, 2).select(F.round("ll", 5).alias("ll"))
 
 
-@query("lda_exppsi", None)
+_EXPPSI = lambda x: f"exp((lgamma({x} + 1e-4) - lgamma({x} - 1e-4)) / 2e-4)"
+
+
+@query("lda_exppsi", f"WITH {TRI}, {_USER} SELECT doc, round({_EXPPSI('a')}, 2) AS a, round({_EXPPSI('b')}, 2) AS b FROM u1")
 def lda_exppsi(spark, d):
     t = triples(spark, d)
     u = X.lda_user_step(t, X.start_users(t, 2), topic_model(t), 2, 0.01, expectation=lambda x: S.exp_digamma(x))
-    return u.select("doc", F.round(F.get("u", F.lit(0)), 4).alias("a"), F.round(F.get("u", F.lit(1)), 4).alias("b"))
+    return u.select("doc", F.round(F.get("u", F.lit(0)), 2).alias("a"), F.round(F.get("u", F.lit(1)), 2).alias("b"))
 
 
 _KNOWN = f"{TOKENS}, kn AS (SELECT tok, count(DISTINCT doc_id) AS df FROM tok GROUP BY tok HAVING count(DISTINCT doc_id) >= 5)"

@@ -22,6 +22,11 @@ def labels(spark, d):
     return table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
 
+def _uni(key: str, n: str) -> str:
+    """The draw number n of a key: 32 bits of a digest, in (0, 1)."""
+    return f"((CAST('0x' || substr(md5(CAST(({key}) AS VARCHAR) || ':' || CAST(({n}) AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
 @query("spmm", f"WITH {RATINGS} SELECT \"user\" AS sample, t AS target, round(sum(rating * p_retailprice * (t + 1)) / 100000, 6) AS value FROM rat JOIN part ON p_partkey = item, (VALUES (0), (1)) g(t) GROUP BY ALL")
 def spmm(spark, d):
     data = ratings(spark, d).select(F.col("user").alias("sample"), F.col("item").alias("feature"), F.col("rating").alias("x"))
@@ -239,9 +244,14 @@ def argmax(spark, d):
     return dense(spark, d, 1, 64).select("vec_id", F.array_max(x).alias("top"), (A.argmax(x) + 1).alias("top_at"), F.array_min(x).alias("low"), (A.argmin(x) + 1).alias("low_at"))
 
 
-@query("randperm", None)
+@query("randperm", f"SELECT p_partkey AS k, row_number() OVER (ORDER BY {_uni('p_partkey', '7')}, p_partkey) - 1 AS place FROM part")
 def randperm(spark, d):
-    return table(spark, d, "part").select("p_partkey").orderBy(F.rand(7))
+    """All rows in a random order that the keys fix: each row's place in it."""
+    from tallyforge.functions import sampling
+    from tallyforge.operators.ordering import row_numbers
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k")).withColumn("u", sampling.uniform(F.col("k"), 7))
+    return row_numbers(p, ("u", "k"), "place").drop("u")
 
 
 @query("vcat_hcat", "SELECT vec_id, CAST(len(embedding[1:4]) + len(embedding[9:12]) AS INTEGER) AS n, round(list_sum(list_transform(embedding[1:4] || embedding[9:12], lambda v: CAST(v AS DOUBLE))), 6) AS s FROM embeddings")
@@ -362,11 +372,6 @@ def pack_fields(spark, d):
     return p.select("k", "packed", *[c.alias(n) for c, n in zip(A.unpacked(F.col("packed"), widths), "abc")])
 
 
-def _uni(key: str, n: str) -> str:
-    """The draw number n of a key: 32 bits of a digest, in (0, 1)."""
-    return f"((CAST('0x' || substr(md5(CAST(({key}) AS VARCHAR) || ':' || CAST(({n}) AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
-
-
 _POISSON = [sum(math.exp(-2.5) * 2.5**i / math.factorial(i) for i in range(k + 1)) for k in range(25)]
 
 

@@ -140,14 +140,6 @@ def kmeansw(spark, d):
     return C.assign(e, "x", cen, penalty=lambda c: 0.01 * c["size"]).groupBy("cid").agg(F.count("*").alias("n"))
 
 
-@query("kmeans_fit", None)
-def kmeans_fit(spark, d):
-    e = dense(spark, d, 1, 64).persist()
-    centroids = C.kmeans(e, "vec_id", "x", 8, 5)
-    e.unpersist()
-    return C.assign(e, "x", centroids).groupBy("cid").agg(F.count("*").alias("n"), F.round(F.avg("d2"), 4).alias("avg_d2"))
-
-
 @query("kmeans_merge", f"WITH {NEAR}, r AS (SELECT vec_id % 3 AS rep, cid, i, avg(x) AS m, count(*) AS n FROM nea JOIN lng USING (vec_id) GROUP BY ALL) SELECT CAST(cid AS INTEGER) AS cid, i, round(sum(m * n) / sum(n), 6) AS m FROM r GROUP BY cid, i")
 def kmeans_merge(spark, d):
     e = dense(spark, d, 1, 64)

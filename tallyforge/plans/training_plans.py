@@ -251,6 +251,18 @@ def kmeans_passes(spark, d):
     return C.assign(e, "x", centroids).groupBy("cid").agg(F.count("*").alias("n"))
 
 
+_CHAIN = ", ".join(_pass_sql(n, f"c{n - 1}") for n in range(1, 6))
+
+
+@query("kmeans_fit", f"WITH {LONG}, c0 AS (SELECT vec_id AS cid, i, x AS c FROM lng WHERE vec_id < 8), {_CHAIN} SELECT CAST(cid AS INTEGER) AS cid, count(*) AS n, round(avg(d2), 4) AS avg_d2 FROM a5 JOIN d5 USING (vec_id, cid) GROUP BY cid")
+def kmeans_fit(spark, d):
+    """Five passes of eight clusters, by blocks."""
+    e = dense(spark, d, 1, 64).persist()
+    centroids = C.kmeans(e, "vec_id", "x", 8, 5)
+    e.unpersist()
+    return C.assign(e, "x", centroids).groupBy("cid").agg(F.count("*").alias("n"), F.round(F.avg("d2"), 4).alias("avg_d2"))
+
+
 @query("kmeans_init_random", f"SELECT vec_id FROM embeddings ORDER BY {_uni('vec_id', '3')}, vec_id LIMIT 4")
 def kmeans_init_random(spark, d):
     """Four rows drawn as first centroids, by a fixed pseudo-random number of their key."""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyforge.functions import sampling
 from tallyforge.functions import special as S
 from tallyforge.functions.arrays import packed, unpacked
-from tallyforge.operators import cluster, embedding, forest, network, ordering, regression, text
+from tallyforge.operators import cluster, embedding, forest, linear, network, ordering, regression, text
 from tallyforge.sources import contracts, files
 
 GRAPH = [
@@ -147,3 +147,13 @@ def test_nodes_look_at_a_feature_once(spark):
     s = spark.createDataFrame([(i, 0, 0, [float(i % 3), float(i % 5)], i % 2) for i in range(40)], "sample long, tree int, node long, xs array<double>, label int")
     h = forest.histogram(s, 2, 6, "label")
     assert {r["n"] for r in h.groupBy("feature").agg(F.sum("n").alias("n")).collect()} == {40}
+
+
+def test_crosses_of_a_hot_sample(spark):
+    r = random.Random(4)
+    rows = [(0, f, float(f)) for f in r.sample(range(500), 90)] + [(s, f, 1.0 + f) for s in range(1, 6) for f in r.sample(range(20), 5)]
+    df = spark.createDataFrame(rows, "s long, f long, v double")
+    for self_ in (True, False):
+        want = sorted((s, a, b, x * y) for s, a, x in rows for t, b, y in rows if s == t and (a > b or (self_ and a == b)))
+        for most in (1024, 16):
+            assert sorted(tuple(x) for x in linear.pair_cross(df, "s", "f", "v", self_, most).collect()) == want
