@@ -7,3 +7,4 @@ from tallyforge.plans import factor_plans  # noqa: F401
 from tallyforge.plans import layer_plans  # noqa: F401
 from tallyforge.plans import stream_plans  # noqa: F401
 from tallyforge.plans import training_plans  # noqa: F401
+from tallyforge.plans import particle_plans  # noqa: F401
