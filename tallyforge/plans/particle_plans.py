@@ -64,3 +64,35 @@ def up_collide_steps(spark, d):
     m = C.pair_step(start, "g", 0.05, 0.9, 1)
     m = C.pair_step(m.join(start.select("key", "g"), "key"), "g", 0.05, 0.9, 2)
     return m.select("key", *[(F.round(c, 6) + 0.0).alias(c) for c in ("w", "v", "w2", "v2")])
+
+
+# Files -------------------------------------------------------------------------------------------------------------
+
+
+@query("src_examples", "SELECT c_mktsegment AS segment, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys, CAST(sum(c_nationkey + len(c_name)) AS BIGINT) AS second, round(sum(CAST(CAST(c_acctbal AS FLOAT) AS DOUBLE)), 2) AS balance FROM customer GROUP BY 1")
+def src_examples(spark, d):
+    """Customers as records of named features, written by partition and read back: two whole numbers, a float, a name."""
+    from tallyforge.sources import examples
+
+    path = scratch(spark, "examples")
+    made = {
+        "ids": examples.feature(F.array("c_custkey", F.col("c_nationkey") + F.length("c_name")), "ints"),
+        "balance": examples.feature(F.array("c_acctbal"), "floats"),
+        "segment": examples.feature(F.array(F.encode("c_mktsegment", "utf-8")), "bytes"),
+    }
+    examples.write_examples(table(spark, d, "customer"), made, path)
+    f = F.col("features")
+    r = examples.read_examples(spark, path).select(F.decode(f["segment"]["bytes"][0], "utf-8").alias("segment"), f["ids"]["ints"].alias("ids"), f["balance"]["floats"][0].cast("double").alias("balance"))
+    return r.groupBy("segment").agg(F.count("*").alias("n"), F.sum(F.col("ids")[0]).alias("keys"), F.sum(F.col("ids")[1]).alias("second"), F.round(F.sum("balance"), 2).alias("balance"))
+
+
+@query("src_matrix_files", "SELECT l_partkey AS \"row\", l_suppkey AS col, CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS value FROM lineitem GROUP BY ALL")
+def src_matrix_files(spark, d):
+    """Quantities by part and supplier as compressed sparse matrix files of 64 columns each, read back cell by cell."""
+    from tallyforge.sources import matrices
+
+    path = scratch(spark, "matrices")
+    x = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col")).agg(F.sum(F.col("l_quantity").cast("long")).cast("double").alias("value"))
+    size = x.agg(F.max("row")).first()[0]
+    matrices.write_matrix(x.groupBy("col").agg(F.collect_list(F.struct("row", "value")).alias("cells")), (size or 0) + 1, path, 64, kind=4, compressed=True)
+    return matrices.read_matrix(spark, path, 64)

@@ -180,6 +180,29 @@ def write_framed(df: DataFrame, path: str, suffix: str, frame: Callable[[list],
     return df.mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
 
 
+def write_named(df: DataFrame, path: str, suffix: str) -> int:
+    """A binary file for each row (n, data), named by its number, under a path that driver and executors share; returns how
+    many. A file is written under a name of its attempt and moved when it is whole."""
+
+    def run(batches):
+        import uuid
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                name = f"{base}/_{uuid.uuid4().hex}"
+                with system.open_output_stream(name, compression=None) as out:
+                    out.write(data)
+                system.move(name, f"{base}/part-{n:08d}.{suffix}")
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    return df.select("n", "data").mapInArrow(run, "n long").agg({"n": "sum"}).first()[0] or 0
+
+
 def write_records(df: DataFrame, record: str, path: str) -> int:
     """Record files of a binary column; null records are left out."""
     return write_framed(df.select(record).where(F.col(record).isNotNull()), path, "tfrecord", lambda rows: frame_records([bytes(r[0]) for r in rows]))

@@ -27,3 +27,40 @@ def test_particles_at_rest_or_without_rows_stay(spark):
     for rule in (C.collided, C.collided_together):
         assert [tuple(r) for r in rule(rest, "p", "q").orderBy("key").collect()] == [(1, 0.0, 0.0), (2, 0.0, 0.0)]
         assert rule(rest.limit(0), "p", "q").count() == 0
+
+
+def test_examples_round_trip():
+    from tallyforge.sources import examples
+
+    made = {"a": {"ints": [1, -1, 300, 1 << 62]}, "b": {"floats": [0.5, -2.0]}, "c": {"bytes": [b"", b"\x00xyz"]}, "": {"ints": []}, "none": None}
+    back = examples.decode(examples.encode(made))
+    for name, f in made.items():
+        want = {"bytes": None, "floats": None, "ints": None} | (f or {})
+        assert back[name] == want
+
+
+def test_features_that_are_not_packed():
+    from tallyforge.sources import examples
+
+    one = examples._varint(1 << 3) + examples._varint(7) + examples._varint(1 << 3) + examples._varint(9)  # two whole numbers, each its own field
+    entry = examples._field(1, b"x") + examples._field(2, examples._field(3, one))
+    assert examples.decode(examples._field(1, examples._field(1, entry)))["x"]["ints"] == [7, 9]
+    with pytest.raises(ValueError, match="ends inside"):
+        examples.decode(examples._field(1, b"abc")[:-1])
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2, 3, 4])
+def test_matrices_round_trip(kind):
+    from tallyforge.sources import matrices
+
+    r, c, v = matrices.cells(matrices.dense_bytes([[1, 2, 3], [4, 5, 6]], 3, kind))
+    assert list(zip(r.tolist(), c.tolist(), v.tolist())) == [(0, 0, 1), (1, 0, 2), (2, 0, 3), (0, 1, 4), (1, 1, 5), (2, 1, 6)]
+    r, c, v = matrices.cells(matrices.sparse_bytes([[(0, 7), (5, 8)], [], [(2, 9)]], 6, kind))
+    assert list(zip(r.tolist(), c.tolist(), v.tolist())) == [(0, 0, 7), (5, 0, 8), (2, 2, 9)]
+
+
+def test_matrix_files_without_rows(spark, tmp_path):
+    from tallyforge.sources import matrices
+
+    none = spark.createDataFrame([], "col long, cells array<struct<row: long, value: double>>")
+    assert matrices.write_matrix(none, 4, f"{tmp_path}/m", 8) == 0
