@@ -96,3 +96,49 @@ def src_matrix_files(spark, d):
     size = x.agg(F.max("row")).first()[0]
     matrices.write_matrix(x.groupBy("col").agg(F.collect_list(F.struct("row", "value")).alias("cells")), (size or 0) + 1, path, 64, kind=4, compressed=True)
     return matrices.read_matrix(spark, path, 64)
+
+
+# Next words --------------------------------------------------------------------------------------------------------
+
+
+def _cell(n: int, word: str) -> str:
+    """CTE n of a chain of cells with one coordinate: new cell value c and output h from a word's number."""
+    z = lambda a, b, c: f"1 / (1 + exp(-({a}::DOUBLE * 0.1::DOUBLE * ({word} - 2) + {b}::DOUBLE * h + {c}::DOUBLE)))"
+    new = f"{z(-0.4, 0.2, 0.2)} * c + {z(0.5, 0.3, 0.1)} * tanh(0.7::DOUBLE * 0.1::DOUBLE * ({word} - 2) + 0.25::DOUBLE * h)"
+    return f"a{n} AS (SELECT *, {new} AS nc, {z(0.6, -0.1, -0.1)} AS no FROM s{n - 1}), s{n} AS (SELECT * EXCLUDE (c, h, nc, no, ll), nc AS c, no * tanh(nc) AS h, ll + {_LIKELY.format(h='(no * tanh(nc))', t=f'w{n}')} AS ll FROM a{n})"
+
+
+_LIKELY = "(0.3::DOUBLE * ({t} - 1) * {h} + 0.1::DOUBLE * {t} - ln(" + " + ".join(f"exp({0.3 * (k - 1):.1f}::DOUBLE * {{h}} + {0.1 * k:.1f}::DOUBLE)" for k in range(5)) + "))"
+_RUNS = "SELECT pos, len(tok) % 5 AS w0, " + ", ".join(f"lead(len(tok) % 5, {k}) OVER (PARTITION BY doc_id ORDER BY pos) AS w{k}" for k in (1, 2, 3)) + " FROM tok"
+
+
+@query("next_word", f"WITH {TOKENS}, r AS ({_RUNS}), s0 AS (SELECT w0, w1, w2, w3, 0.0::DOUBLE AS c, 0.0::DOUBLE AS h, 0.0::DOUBLE AS ll FROM r WHERE pos % 3 = 0 AND w3 IS NOT NULL), {_cell(1, 'w0')}, {_cell(2, 'w1')}, {_cell(3, 'w2')} SELECT count(*) AS windows, round(sum(ll) / (3 * count(*)), 7) AS ll FROM s3")
+def next_word(spark, d):
+    """How well a chain of three cells with given weights foretells next words, a word being its length modulo 5."""
+    import numpy as np
+
+    from tallyforge.operators import language as N
+
+    k = np.arange(5.0)
+    w = {
+        "in": 0.1 * (k - 2)[:, None], "out": 0.3 * (k - 1)[:, None], "out_bias": 0.1 * k,
+        "gates0": np.array([[0.5, 0.3], [-0.4, 0.2], [0.6, -0.1], [0.7, 0.25]]), "bias0": np.array([0.1, 0.2, -0.1, 0.0]),
+    }
+    lists = token_lists(spark, d).select(F.transform("toks", lambda t: (F.length(t) % 5).cast("string")).alias("toks"))
+    n, ll = N.score(N.windows(lists, "toks", ["0", "1", "2", "3", "4"], 3), w)
+    return spark.createDataFrame([(n, round(ll, 7))], "windows bigint, ll double")
+
+
+@query("next_word_fit", f"WITH {TOKENS}, n AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1) SELECT CAST(sum((n - 1) // 8) AS BIGINT) AS windows, TRUE AS better FROM n")
+def next_word_fit(spark, d):
+    """Two levels, trained for three steps over all windows of eight words: next words become likelier than at the start."""
+    from tallyforge.operators import language as N
+    from tallyforge.operators import text as T
+    from tallyforge.plans.fixtures import tokens
+    from tallyforge.scratch import kept
+
+    common = [r["tok"] for r in T.ranked(T.dictionary(tokens(spark, d))).where("rank < 63").orderBy("rank").collect()]  # the model's word list
+    runs = kept(N.windows(token_lists(spark, d), "toks", common, 8), "windows")
+    w = N.start(len(common) + 1, 4, 2)
+    n, before = N.score(runs, w)
+    return spark.createDataFrame([(n, N.score(runs, N.train(runs, w, 3, 0.1))[1] > before)], "windows bigint, better boolean")

@@ -64,3 +64,34 @@ def test_matrix_files_without_rows(spark, tmp_path):
 
     none = spark.createDataFrame([], "col long, cells array<struct<row: long, value: double>>")
     assert matrices.write_matrix(none, 4, f"{tmp_path}/m", 8) == 0
+
+
+@pytest.mark.parametrize("levels", [1, 2])
+def test_slopes_of_a_next_word_network(levels):
+    import numpy as np
+
+    from tallyforge.operators import language as N
+
+    w = N.start(6, 3, levels, seed=1, scale=0.5)
+    ids = np.random.default_rng(2).integers(0, 6, (5, 5))
+    _, g = N.pass_through(w, ids)
+    for k, v in w.items():
+        for at in range(0, v.size, max(1, v.size // 7)):
+            ends = []
+            for e in (1e-5, -1e-5):
+                moved = {n: x.copy() for n, x in w.items()}
+                moved[k].flat[at] += e
+                ends.append(N.pass_through(moved, ids, False)[0])
+            assert g[k].flat[at] == pytest.approx((ends[0] - ends[1]) / 2e-5, rel=1e-4, abs=1e-6)
+
+
+def test_next_words_of_a_cycle_are_learnt(spark):
+    from tallyforge.operators import language as N
+
+    df = spark.createDataFrame([(["a", "b", "c"] * 12,), (["b", "c", "a"] * 9 + ["b"],), (["a"],), ([],), (None,)], "toks array<string>")
+    runs = N.windows(df, "toks", ["a", "b", "c"], 4)
+    assert runs.count() == 35 // 4 + 27 // 4
+    w = N.train(runs, N.start(4, 5, 1), 25, 0.1)
+    assert N.score(runs, w)[1] > -0.1
+    assert N.score(runs.limit(0), w) == (0, 0.0)
+    assert N.windows(df, "toks", [], 4).first()["ids"] == [0, 0, 0, 0, 0]
