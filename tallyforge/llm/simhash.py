@@ -227,5 +227,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     smallest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     first = smallest.groupBy("root").agg(F.min(F.struct("fingerprint", "doc_key"))["doc_key"].alias("__key"))
     rows = docs.select(doc_key(F.col(key), F.col(text)).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    kept = rows.join(first.select("__key"), "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select("__row.*")
+    once = rows.dropDuplicates(["__key"])  # before the join, so that rows alike are one before they are shuffled
+    return once.join(first.select("__key"), "__key", "left_semi").select("__row.*")

@@ -281,6 +281,29 @@ def test_components_of_a_path(spark):
     assert {r["root"] for r in components(e).collect()} == {0}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    """Stars, joined hubs and small groups, with hubs of 5 edges or more looked up, against union by hand."""
+    from tallyforge.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", 0.0)
+    monkeypatch.setattr(module, "FEW", 4)
+    r = random.Random(3)
+    edges = [(100, i) for i in range(101, 160)] + [(50, i) for i in range(155, 200)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(60)] + [(-7, 900), (900, 901)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        a, b = top(u), top(v)
+        root[max(a, b)] = min(a, b)
+    touched = {x for u, v in edges if u != v for x in (u, v)}
+    got = components(spark.createDataFrame(edges * 2, "u long, v long")).collect()
+    assert {(x["node"], x["root"]) for x in got} == {(x, top(x)) for x in touched} and len(got) == len(touched)
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
