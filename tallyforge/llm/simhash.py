@@ -39,6 +39,8 @@ SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((5, 1 << 31), (6, 1 << 37), (7, 1 << 63))
 #: A fingerprint that more than this share of all rows carry is looked up without a shuffle; there are at most 1 / HOT.
 HOT = 1 / 4096
+#: No fingerprint or row that fewer rows carry is hot.
+FEW = 1000.0
 #: Largest bucket that one task searches whole.
 MOST = 2048
 PIVOTS = 16
@@ -212,7 +214,7 @@ def _near_duplicates(docs: DataFrame, key: str, text: str, also: list) -> DataFr
     rooted = least.join(roots, least["fp"] == roots["node"], "left").select("fp", "least", "carriers", F.coalesce("root", "fp").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = cut(rooted.join(component, "root").select("fp", "carriers", "root", "component_id"), "simhash-components")
-    hot = F.col("carriers") > F.lit(max((size["rows"] or 0) * HOT, 1000.0))
+    hot = F.col("carriers") > F.lit(max((size["rows"] or 0) * HOT, FEW))
     few = F.broadcast(known.where(hot).select("fp", "root", "component_id"))  # 1 / HOT rows at most
     looked = marked.join(few, "fp", "left").withColumn("is_hot", F.col("root").isNotNull())
     rest = looked.where(~F.col("is_hot")).drop("root", "component_id").join(known.where(~hot).select("fp", "root", "component_id"), "fp")
@@ -225,7 +227,13 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     fingerprint and text digest; of rows alike in all of these, any one."""
     found = _near_duplicates(docs, key, text, [doc_key(F.col(key), F.col(text)).alias("doc_key")])
     smallest = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = smallest.groupBy("root").agg(F.min(F.struct("fingerprint", "doc_key"))["doc_key"].alias("__key"))
+    alike = smallest.groupBy("root", "fingerprint", "doc_key").agg(F.count("*").alias("n"))
+    first = alike.groupBy("root").agg(F.min(F.struct("fingerprint", "doc_key", "n")).alias("x"))
+    first = cut(first.select(F.col("x.doc_key").alias("__key"), F.col("x.n").alias("__n")), "simhash-kept")
     rows = docs.select(doc_key(F.col(key), F.col(text)).alias("__key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    once = rows.dropDuplicates(["__key"])  # before the join, so that rows alike are one before they are shuffled
-    return once.join(first.select("__key"), "__key", "left_semi").select("__row.*")
+    many = F.col("__n") > max(docs.count() * HOT, FEW)
+    kept = rows.join(first.where(~many).select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
+    repeated = first.where(many).select("__key")  # 1 / HOT rows at most
+    if repeated.limit(1).count():
+        kept = kept.unionByName(rows.join(F.broadcast(repeated), "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select("__row.*")

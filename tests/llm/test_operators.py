@@ -265,6 +265,14 @@ def test_hot_fingerprints(spark, monkeypatch):
     assert len(got) == 2400 and all(got[i] == (1 if i % 3 else i) for i in got)
 
 
+def test_one_of_hot_repeated_rows_stays(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "a b c d", "x")] * 40 + [(None, None, "y")] * 30 + [(2, "a b c d", "z"), (3, "quite other words here", "w")], "doc_id long, text string, n string")
+    want = [(1, "x"), (3, "w"), (None, "y")]
+    for few in (simhash.FEW, 5.0):
+        monkeypatch.setattr(simhash, "FEW", few)
+        assert sorted(((r["doc_id"], r["n"]) for r in simhash.keep_one(df).collect()), key=str) == sorted(want, key=str)
+
+
 def test_pivots_never_discard_a_link():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 2**63, 500, dtype=np.uint64)
