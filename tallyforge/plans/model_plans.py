@@ -387,12 +387,11 @@ def up_incmult(spark, d):
 
 @query("up_telescoping", "WITH b AS (SELECT event_id // 100 + 1 AS step, sum(CAST(round(value * 100) AS BIGINT)) AS s, count(*) AS n FROM events GROUP BY 1), c AS (SELECT step, sum(s) OVER (ORDER BY step) AS s, sum(n) OVER (ORDER BY step) AS n FROM b) SELECT step, round(s / CAST(n AS DOUBLE), 6) AS m FROM c WHERE step IN (1, 2, 3, 5, 8, 11, 17, 26, 38, 58, 86)")
 def up_telescoping(spark, d):
-    from pyspark.sql import Window
+    from tallyforge.operators.ordering import running_sums
 
     b = table(spark, d, "events").groupBy((F.floor(F.col("event_id") / 100) + 1).alias("step")).agg(F.sum(F.round(F.col("value") * 100).cast("long")).alias("s"), F.count("*").alias("n"))
-    w = Window.orderBy("step")
-    c = b.select("step", F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"))
-    return c.where(F.col("step").isin(U.telescope_steps(100))).select("step", F.round(F.col("s") / F.col("n"), 6).alias("m"))
+    c = running_sums(running_sums(b, ("step",), F.col("s"), "upto"), ("step",), F.col("n"), "count")
+    return c.where(F.col("step").isin(U.telescope_steps(100))).select("step", F.round(F.col("upto") / F.col("count"), 6).alias("m"))
 
 
 @query("mix_l1_l2", f"WITH {MODEL} SELECT key, round(-0.01::DOUBLE * sign(w), 8) + 0.0::DOUBLE AS l1, round(-0.01::DOUBLE * w, 8) + 0.0::DOUBLE AS l2 FROM mdl")
