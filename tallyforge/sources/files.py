@@ -219,26 +219,30 @@ def write_binary_vectors(df: DataFrame, word: str, vector: str, size: int, path:
 
 
 def read_binary_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(word, vector) of binary vector files."""
+    """(word, vector) of binary vector files; a file may hold no words. A worker holds one file's bytes and the vectors of
+    4,096 words at a time."""
 
-    def run(parts):
+    def run(batches):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in parts:
-            for content in pdf["content"]:
-                data = bytes(content)
+        for b in batches:
+            for content in b.column(0):
+                data = content.as_py()
                 at = data.index(b"\n") + 1
                 n, size = map(int, data[:at].split())
-                words, vectors = [], []
-                for _ in range(n):
-                    end = data.index(b" ", at)
-                    words.append(data[at:end].lstrip(b"\n").decode())
-                    vectors.append(np.frombuffer(data, "<f4", size, end + 1).tolist())
-                    at = end + 1 + 4 * size
-                yield pd.DataFrame({"word": words, "vector": vectors})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "word string, vector array<float>")
+                for first in range(0, n, 4096):
+                    words, vectors = [], []
+                    for _ in range(first, min(first + 4096, n)):
+                        end = data.index(b" ", at)
+                        words.append(data[at:end].lstrip(b"\n").decode())
+                        vectors.append(np.frombuffer(data, "<f4", size, end + 1))
+                        at = end + 1 + 4 * size
+                    offsets = np.arange(len(words) + 1, dtype=np.int32) * size
+                    rows = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(vectors), pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), rows], names=["word", "vector"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "word string, vector array<float>")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

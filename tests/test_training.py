@@ -134,6 +134,14 @@ def test_records_and_vectors_round_trip(spark, tmp_path):
     assert sorted((r["word"], list(r["vector"])) for r in files.read_binary_vectors(spark, f"{tmp_path}/vectors").collect()) == sorted(vectors)
 
 
+def test_vector_files_without_words(spark, tmp_path):
+    rows = spark.range(5000).select(F.concat(F.lit("w"), F.col("id")).alias("w"), F.array(F.col("id").cast("double"), F.lit(0.5)).alias("v"))
+    assert files.write_binary_vectors(rows, "w", "v", 2, f"{tmp_path}/vectors") == 5000
+    (tmp_path / "vectors/part-000099.bin").write_bytes(b"0 2\n")  # what a split without rows leaves
+    back = files.read_binary_vectors(spark, f"{tmp_path}/vectors")
+    assert back.where("word = concat('w', int(vector[0])) and size(vector) = 2 and vector[1] = 0.5").select("word").distinct().count() == back.count() == 5000
+
+
 def test_source_puts_batches_back(spark):
     s = contracts.Source(spark.range(25).withColumnRenamed("id", "k"), ("k",), 10).start()
     first = s.next()
