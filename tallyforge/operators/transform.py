@@ -42,8 +42,9 @@ def zipped(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def hashed_share(key: Column, share: float, buckets: int = 1000) -> Column:
-    """A fixed pseudo-random subset of keys, by whole-number arithmetic that any engine repeats."""
-    return F.pmod(key * F.lit(1103515245) + F.lit(12345), F.lit(2147483648)) % buckets < int(share * buckets)
+    """A fixed pseudo-random subset of keys, by whole-number arithmetic that any engine repeats. The key is brought below
+    2**31 first, so that no product leaves 64 bits; the rest is the same."""
+    return F.pmod(F.pmod(key, F.lit(2147483648)) * F.lit(1103515245) + F.lit(12345), F.lit(2147483648)) % buckets < int(share * buckets)
 
 
 def blend(a: DataFrame, b: DataFrame, key: str, share: float) -> DataFrame:

@@ -212,3 +212,9 @@ def test_telescoping_and_rates(spark):
     assert updaters.telescope_steps(20) == [1, 2, 3, 5, 8, 11, 17]
     x = spark.createDataFrame([(0.0,), (0.4,), (2.0,)], "x double").select(updaters.interpolated(F.col("x"), [(0.2, 1.0), (0.6, 0.5)]))
     assert [round(r[0], 6) for r in x.collect()] == [1.0, 0.75, 0.5]
+
+
+def test_hashed_share_of_large_keys(spark):
+    keys = [0, 5, -7, 2**31, 90_000 * 100_003 + 7, 2**53 + 1, 2**63 - 1]
+    got = {r["k"]: r["s"] for r in spark.createDataFrame([(k,) for k in keys], "k long").select("k", transform.hashed_share(F.col("k"), 0.5).alias("s")).collect()}
+    assert got == {k: (k * 1103515245 + 12345) % 2**31 % 1000 < 500 for k in keys}
