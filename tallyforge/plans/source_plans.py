@@ -333,13 +333,12 @@ def src_base(spark, d):
     """A source's batches, the first put back once, through a transformation into a sink."""
     from tallyforge.sources.contracts import Sink, Source
 
-    source, sink, number = Source(samples(spark, d).select("id", "f1"), ("id",), 400).start(), Sink(), 0
+    source, sink = Source(samples(spark, d).select("id", "f1"), ("id",), 400).start(), Sink()
+    sums = [F.count("*").alias("n"), F.round(F.sum("f1"), 6).alias("s")]
     first = source.next()
     source.put_back(first)
-    sink.put(first.agg(F.lit(-1).cast("long").alias("batch"), F.count("*").alias("n"), F.round(F.sum("f1"), 6).alias("s")))
-    while source.has_next():
-        sink.put(source.next().agg(F.lit(number).cast("long").alias("batch"), F.count("*").alias("n"), F.round(F.sum("f1"), 6).alias("s")))
-        number += 1
+    sink.put(first.agg(F.lit(-1).cast("long").alias("batch"), *sums))
+    sink.put(source.rest().groupBy(F.col("turn").alias("batch")).agg(*sums))
     return sink.table()
 
 

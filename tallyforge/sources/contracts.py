@@ -37,6 +37,16 @@ class Source:
         self.place += 1
         return self._numbered.where(F.col("batch_id") == self.place - 1).drop("batch_id")
 
+    def rest(self) -> DataFrame:
+        """The rows of all batches that next would still give, with their turn from 0. What is done with each batch alike is
+        one job by turn, however many there are."""
+        back, left = self._back[::-1], self._numbered.where(F.col("batch_id") >= self.place)
+        out = left.withColumn("turn", F.col("batch_id") - self.place + len(back)).drop("batch_id")
+        for turn, batch in enumerate(back):
+            out = out.unionByName(batch.withColumn("turn", F.lit(turn).cast("long")))
+        self.place, self._back = self._count, []
+        return out
+
     def put_back(self, batch: DataFrame) -> None:
         """The batch comes again before any other."""
         self._back.append(batch)

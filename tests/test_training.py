@@ -151,6 +151,33 @@ def test_source_puts_batches_back(spark):
     assert not contracts.Source(spark.range(0).withColumnRenamed("id", "k"), ("k",), 10).start().has_next()
 
 
+def test_rest_of_a_source_in_turn(spark):
+    source = lambda n: contracts.Source(spark.range(n).withColumnRenamed("id", "k"), ("k",), 10).start()
+    turns = lambda df: [r[:] for r in df.groupBy("turn").agg(F.min("k"), F.max("k"), F.count("*")).orderBy("turn").collect()]
+    s = source(45)
+    first, second = s.next(), s.next()
+    s.put_back(second)
+    s.put_back(first)
+    assert turns(s.rest()) == [(0, 0, 9, 10), (1, 10, 19, 10), (2, 20, 29, 10), (3, 30, 39, 10), (4, 40, 44, 5)]
+    assert not s.has_next() and s.progress() == 1.0 and turns(s.rest()) == []
+    assert turns(source(0).rest()) == []
+
+
+def test_jobs_of_src_base_do_not_grow_with_its_batches(spark, tmp_path):
+    from tallyforge.plans.catalog import queries
+
+    def jobs(orders, name):
+        li = spark.range(orders).selectExpr("id as l_orderkey", "10.0D as l_quantity", "0.1D as l_discount", "0.1D as l_tax", "'R' as l_returnflag")
+        li.write.parquet(f"{tmp_path}/{name}/lineitem.parquet")
+        spark.sparkContext.setJobGroup(name, name)
+        rows = queries()["src_base"](spark, f"{tmp_path}/{name}").collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(rows) == orders // 400 + 1 and {r["n"] for r in rows} == {400}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+    assert jobs(12_000, "many") <= jobs(800, "few") + 4  # 30 batches and 2
+
+
 def test_nodes_look_at_a_feature_once(spark):
     s = spark.createDataFrame([(i, 0, 0, [float(i % 3), float(i % 5)], i % 2) for i in range(40)], "sample long, tree int, node long, xs array<double>, label int")
     h = forest.histogram(s, 2, 6, "label")
